@@ -1,4 +1,4 @@
-"""Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words."""
+"""Byte-level BPE: ranked merges are folded over the bytes of distinct words, with numpy or as Spark expressions."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bytes of text whose distinct words are one row, and bytes from which on a word is merged with a heap instead of a fold.
-BLOCK, LONG = 16 << 20, 200
+#: Characters of text whose distinct words are folded together, and bytes from which on a word is merged with a heap instead.
+BLOCK, LONG = 6 << 20, 200
 _SHIFT = 17
 
 
@@ -132,47 +132,68 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _splitter(path: str, pattern: str, block: int):
-    """Texts to rows of one block each: documents, their words as numbers of the block's distinct words, those words' bytes."""
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("refs", pa.binary()), ("words", pa.list_(pa.list_(pa.int32())))])
-
-    def split(batches):
-        import regex
-
-        find, ranks = regex.compile(pattern).findall, read_ranks(path)
-        of = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
-        class Numbers(dict):
-            def __missing__(self, w):
-                self[w] = n = len(self)
-                return n
-
-        def row(ids, refs, words):
-            flat, ends = [], [0]
-            for w in words:
-                b = w.encode("utf-8", "replace")
-                whole = ranks.get(b)
-                flat.append(np.array([whole], np.int32) if whole is not None else np.array(merge_long(b, ranks), np.int32) if len(b) >= LONG else of[np.frombuffer(b, np.uint8)])
-                ends.append(ends[-1] + len(flat[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
-            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), lists)
-            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in refs]], pa.list_(pa.int32())), pa.array([b"".join(r.tobytes() for r in refs)], pa.binary()), whole]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-        ids, refs, words, size = [], [], Numbers(), 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = find(text or "")
-                ids.append(i)
-                refs.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                size += len(text or "")
-                if size >= block:
-                    yield row(ids, refs, words)
-                    ids, refs, words, size = [], [], Numbers(), 0
-        if ids:
-            yield row(ids, refs, words)
-
-    return split
+@functools.lru_cache(2)
+def _tables(path: str):
+    ranks = read_ranks(path)
+    moves, slots = (np.array(x, np.int64) for x in rank_map(path))
+    return ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int64), moves, slots
+
+
+def _pair_ranks(left: np.ndarray, right: np.ndarray, moves: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    pair = left << _SHIFT | right
+    slot = slots[(pair % len(slots) + moves[pair % len(moves)]) % len(slots)]
+    return np.where(slot >> _SHIFT == pair, slot & ((1 << _SHIFT) - 1), _NONE)
+
+
+_NONE = 1 << 40
+
+
+def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of words, one after the other, and where each word's begin (with the end).
+
+    The fold of fold_merges over all words at once: in each turn every word that has a pair left joins its pair of least rank."""
+    ranks, of, moves, slots = _tables(path)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    whole = {k: [r] for k, w in enumerate(words) if (r := ranks.get(w)) is not None}
+    whole |= {int(k): merge_long(words[k], ranks) for k in np.flatnonzero(sizes >= LONG) if k not in whole}
+    word = np.repeat(np.arange(len(words)), sizes)
+    token = of[np.frombuffer(b"".join(words), np.uint8)]
+    if whole:
+        rest = np.ones(len(words), bool)
+        rest[list(whole)] = False
+        token, word = token[rest[word]], word[rest[word]]
+    done = [(word[:0], token[:0])]
+    rank = np.full(len(token), _NONE, np.int64)
+    if len(token):
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        rank[inner] = _pair_ranks(token[inner], token[inner + 1], moves, slots)
+    while len(token):
+        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        least = np.minimum.reduceat(rank, starts)
+        counts = np.diff(np.concatenate((starts, [len(token)])))
+        each = np.repeat(least, counts)
+        open_ = each != _NONE
+        if not open_.all():
+            done.append((word[~open_], token[~open_]))
+            token, word, rank, each = token[open_], word[open_], rank[open_], each[open_]
+            if not len(token):
+                break
+        at = np.flatnonzero(rank == each)
+        at = at[np.concatenate(([True], word[at][1:] != word[at][:-1]))]
+        token[at] = each[at]
+        stay = np.ones(len(token), bool)
+        stay[at + 1] = False
+        at = at - np.arange(len(at))
+        token, word, rank = token[stay], word[stay], rank[stay]
+        rank[at] = _NONE
+        for near in (at[at + 1 < len(token)], at[at > 0] - 1):
+            near = near[word[near] == word[near + 1]]
+            rank[near] = _pair_ranks(token[near], token[near + 1], moves, slots)
+    if whole:
+        done.append((np.repeat(list(whole), [len(t) for t in whole.values()]), np.concatenate([np.array(t, np.int64) for t in whole.values()])))
+    word, token = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(word, kind="stable")
+    return token[order].astype(np.uint32), np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
 
 
 def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -181,30 +202,49 @@ def _ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return values[shift + np.arange(total)]
 
 
-def _joiner(path: str, with_ids: bool):
-    def join(batches):
+class _Numbers(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _coder(path: str, pattern: str, block: int, with_ids: bool):
+    """Texts to results, a block at a time."""
+
+    def code(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
         pieces = {v: k for k, v in read_ranks(path).items()}
         pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+
+        def finish(ids, refs, numbers):
+            tokens, ends = merge_words([w.encode("utf-8", "replace") for w in numbers], path)
+            counts = np.diff(ends)
+            rows = []
+            for i, r in zip(ids, refs):
+                own = _ragged(tokens, ends[r], counts[r]) if len(r) else tokens[:0]
+                text = b"".join(map(pieces.__getitem__, own.tolist()))
+                raw = own.astype("<u4").tobytes()
+                rows.append((i, len(own), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest(), raw if with_ids else None, text if with_ids else None))
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+
+        ids, refs, numbers, size = [], [], _Numbers(), 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, sizes = batch.column("ids")[k].as_py(), np.array(batch.column("sizes")[k].as_py(), np.int64)
-                refs = np.frombuffer(batch.column("refs")[k].as_py(), np.int32)
-                words = batch.column("tokens")[k].values
-                ends = words.offsets.to_numpy().astype(np.int64)
-                flat = words.values.to_numpy().astype(np.uint32)
-                counts = np.diff(ends)
-                stops = np.concatenate(([0], np.cumsum(sizes)))
-                rows = []
-                for i, a, b in zip(ids, stops[:-1], stops[1:]):
-                    r = refs[a:b]
-                    tokens = _ragged(flat, ends[r], counts[r]) if len(r) else np.empty(0, np.uint32)
-                    text = b"".join(map(pieces.__getitem__, tokens.tolist()))
-                    raw = tokens.astype("<u4").tobytes()
-                    rows.append((i, len(tokens), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest(), raw if with_ids else None, text if with_ids else None))
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
-
-    return join
+            for i, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                found = find(text)
+                ids.append(i.as_py())
+                refs.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                size += len(text)
+                if size >= block:
+                    yield finish(ids, refs, numbers)
+                    ids, refs, numbers, size = [], [], _Numbers(), 0
+        if ids:
+            yield finish(ids, refs, numbers)
+
+    return code
 
 
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True, block: int = BLOCK) -> DataFrame:
@@ -214,14 +254,21 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids:
     with_ids). Each match of pattern is encoded by itself; a match that is a token is that token. Null text is empty and has no
     token. Repeated rows are encoded again, a null doc_id stays null, other columns are ignored, no input gives no row.
 
-    Nothing is shuffled. A task numbers the distinct words of a block of `block` bytes; one row per block goes through the
-    fold, whose rank map is a literal; then the block's documents are put together from the words' tokens. A document's
-    tokens are one value; nothing larger than a block or the longest document is held. Words of LONG bytes or more are
-    merged by a heap, since a fold of n merges over n bytes takes n * n steps.
+    Nothing is shuffled. A task numbers the distinct words of a block of `block` characters, folds the ranked merges over
+    all of them at once, and puts the block's documents together from the words' tokens. A document's tokens are one
+    value; nothing larger than a block or the longest document is held. Words of LONG bytes or more are merged by a heap,
+    since a fold of n merges over n bytes takes n * n steps. fold_merges is the same fold as Spark expressions.
     """
-    moves, slots = rank_map(ranks_path)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = texts.mapInArrow(_splitter(ranks_path, pattern, block), "ids array<long>, sizes array<int>, refs binary, words array<array<int>>")
-    tables = (_literal(moves), _literal(slots), len(moves), len(slots))
-    folded = blocks.select("ids", "sizes", "refs", F.transform("words", lambda w: fold_merges(w, *tables)).alias("tokens"))
-    return folded.mapInArrow(_joiner(ranks_path, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary")
+    return texts.mapInArrow(_coder(ranks_path, pattern, block, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary")
+
+
+def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
+    """words (word) with tokens (array<int>), by fold_merges and a literal rank map alone."""
+    ranks = read_ranks(ranks_path)
+    moves, slots = rank_map(ranks_path)
+    of = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
+    known = F.hex(F.encode("word", "UTF-8"))
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.get(of, F.conv(F.substr(known, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+    codes = F.when(F.octet_length("word") > 0, codes).otherwise(F.array().cast("array<int>"))
+    return words.withColumn("bytes", codes).select("word", fold_merges(F.col("bytes"), _literal(moves), _literal(slots), len(moves), len(slots)).alias("tokens"))

@@ -82,6 +82,13 @@ def test_long_words_merge_alike():
         assert bpe.merge_long(word, ranks) == enc._encode_single_piece(word)
 
 
+def test_expressions_fold_alike(spark):
+    enc, _ = _tiktoken()
+    words = [" the", "thwhstion", "é", "", "a", " 漢字😀", "aaaaaaaaaaaa", "ONHAONAN", "x" * 50]
+    out = bpe.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), queries.tokenizer("byte_bpe_50k.tiktoken"))
+    assert {r["word"]: list(r["tokens"]) for r in out.collect()} == {w: enc._encode_single_piece(w.encode()) if w else [] for w in words}
+
+
 def test_op9_against_tiktoken(spark, sf_dir):
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     rows = queries.op9_bpe(spark, sf_dir).collect()
