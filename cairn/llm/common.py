@@ -21,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
+#: Rows of a run of texts at most, whatever their length.
+ROWS = 1024
+
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation of what lies before them."""
@@ -66,6 +69,6 @@ def text_chunks(texts: pa.Array, most: int):
     row = 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, row + ROWS)
         yield row, offsets[row : end + 1] - offsets[row], data[offsets[row] : offsets[end]]
         row = end

@@ -21,7 +21,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 #: Bytes of text that are hashed at a time.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
+#: Turns with hubs drawn by hash before all pairs that are left.
+TURNS = 1
+#: Minima of the longer signatures of documents in buckets that stay open.
+FINE = 1024
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -82,7 +86,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def _signer(perms: int, rows: int, width: int):
+def _signer(perms: int, rows: int, width: int, marks: np.ndarray | None = None):
     """mapInArrow function: each document's set size, set digest, packed 2-bit signature and band keys."""
     factors = np.random.default_rng(11).integers(1, 2**63, perms, dtype=np.uint64) * _U(2) + _U(1)
     band_keys = np.random.default_rng(13).integers(1, 2**63, (perms // rows, rows), dtype=np.uint64) * _U(2) + _U(1)
@@ -96,6 +100,7 @@ def _signer(perms: int, rows: int, width: int):
     def sign(batches):
         np.seterr(over="ignore")
         for batch in batches:
+            batch = batch if marks is None else _marked(batch, marks)
             ids = batch.column(0)
             for row, offsets, data in text_chunks(batch.column(1), _CHUNK):
                 sets = shingle_sets(offsets, data, width)
@@ -131,10 +136,30 @@ def _signer(perms: int, rows: int, width: int):
     return sign, longs
 
 
-def _set_reader(width: int):
+#: Bits of the map that says which texts a round of confirmation reads again: 2 MB whatever the input. It only spares the
+#: other texts the work; where it is full, all are read, and the join that follows picks the right ones.
+MARKS = 1 << 24
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    at = F.pmod(F.col("doc_id"), F.lit(MARKS))
+    words = ids.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(doc_id, 32) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(MARKS // 32, np.int64)
+    found = words.toPandas()
+    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return out.astype(np.uint32)
+
+
+def _marked(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
+    ids = batch.column(0).cast("int64").fill_null(0).to_numpy() % MARKS
+    return batch.filter(pa.array((marks[ids >> 5] >> (ids & 31).astype(np.uint32)) & 1 == 1))
+
+
+def _set_reader(width: int, marks: np.ndarray):
     def read(batches):
         np.seterr(over="ignore")
         for batch in batches:
+            batch = _marked(batch, marks)
             for row, offsets, data in text_chunks(batch.column(1), _CHUNK):
                 sets = shingle_sets(offsets, data, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
@@ -146,8 +171,8 @@ def _confirm(percent: int):
     def confirm(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -174,9 +199,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, perms: i
     Each of `perms` minima keeps its two low bits in packed longs; `perms / rows` bands of whole minima give candidates. At
     the defaults a pair at the threshold shares no band with probability 2e-5, and the bit estimate, which must reach the
     threshold less `slack` (four standard errors), loses 3e-5. Full sets confirm every link. Equal sets are one class, so
-    copies cost one row each. In each band bucket every member is held against the smallest; the components of those links
-    are found; then all pairs of a bucket that are still in different components are held against each other. So a group of
-    thousands of copies costs about its size, and no pair that could still join two groups is left out.
+    copies cost one row each. In each band bucket the smallest member is the hub. Documents are held against their smallest
+    hub; then, by turns, those of each bucket that are not yet joined to a hub, the smallest or one drawn by hash, against
+    it; and last all pairs of a bucket that are still in different components against each other. So a group of thousands of copies costs about its size, and no pair that
+    could still join two groups is left out.
 
     Repeated doc_ids each get their row and share one component. A null doc_id gets a null component and kept true. Empty
     input gives an empty result; other columns of docs are ignored.
@@ -194,36 +220,67 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, perms: i
         some.select("doc_id", "d0", "d1").join(classes.filter("copies > 1"), ["d0", "d1"]).filter("doc_id != rep").distinct()
     )
     # A repeated doc_id with another text must stay, so only rows of the same set are left out.
-    first = some.join(copies, ["doc_id", "d0", "d1"], "left_anti")
-    rep = first.select("doc_id", "n_shingles", *signs, F.explode("bands").alias("key"))
+    first = scratch.save(some.join(copies.hint("merge"), ["doc_id", "d0", "d1"], "left_anti"))
+    rep = first.select("doc_id", F.explode("bands").alias("key"))
     buckets = rep.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = scratch.save(rep.join(buckets, "key"))
+    members = scratch.save(rep.join(buckets.hint("merge"), "key").drop("n"))
     cut = max(0.0, percent / 100 - slack)
     near = _estimate(longs, perms) >= cut
     alike = 100 * F.least("a.n_shingles", "b.n_shingles") >= percent * F.greatest("a.n_shingles", "b.n_shingles")
-    one = first.select("doc_id", "n_shingles", *signs)
-    star = members.select("doc_id", "hub", "n_shingles", *signs).filter("doc_id != hub").distinct().alias("a").join(one.alias("b"), (F.col("a.hub") == F.col("b.doc_id")) & alike & near)
-    star = scratch.save(star.select(F.col("a.doc_id").alias("u"), F.col("a.hub").alias("v")).distinct())
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (doc_id, hub) whose sizes and bits allow the link, as (u, v)."""
+        one = scratch.again(first).select("doc_id", "n_shingles", *signs).distinct()
+        left = pairs.join(one, "doc_id").alias("a")
+        two = scratch.again(first).select("doc_id", "n_shingles", *signs).distinct().alias("b")
+        both = left.join(two, (F.col("a.hub") == F.col("b.doc_id")) & alike & near)
+        return scratch.save(both.select(F.col("a.doc_id").alias("u"), F.col("a.hub").alias("v")).distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = scratch.save(texts.join(used, "doc_id", "left_semi").mapInArrow(_set_reader(width), "doc_id long, shingles binary"))
-        full = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u")
+        marks = _bitmap(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
+        sets = scratch.save(texts.mapInArrow(_set_reader(width, marks), "doc_id long, shingles binary"))
+        full = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u")
         links = scratch.save(full.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long").distinct())
         scratch.drop(sets)
         return links
 
-    def with_component(df: DataFrame, found: DataFrame) -> DataFrame:
-        return df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    def with_component(df: DataFrame, found: DataFrame, key: str = "doc_id", name: str = "component") -> DataFrame:
+        found = found.select(F.col("node").alias(key), F.col("component").alias(name))
+        return df.join(found, key, "left").withColumn(name, F.coalesce(name, key))
 
-    links = confirmed(star)
-    known = connected_components(links.union(copies.select("doc_id", "rep")), scratch)
-    labelled = with_component(members, known)
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("n").alias("n")).filter("c0 != c1 and n > 2").select("key")
-    rest = scratch.save(labelled.join(open_keys, "key", "left_semi").drop("n"))
-    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc_id") > F.col("b.doc_id")) & (F.col("b.doc_id") != F.col("b.hub")) & alike & near)
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links), scratch)
+
+    nearest = members.filter("doc_id != hub").groupBy("doc_id").agg(F.min("hub").alias("hub"))
+    known = connected_components(confirmed(likely(nearest)).union(copies.select("doc_id", "rep")), scratch)
+    rest = members.drop("hub")
+    for turn in range(1 + TURNS):
+        rest = with_component(rest, known)
+        keys = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
+        rest = scratch.save(rest.join(keys, "key", "left_semi"))
+        order = F.xxhash64(F.col("doc_id"), F.col("key"), F.lit(turn)) if turn else F.col("doc_id")
+        hubs = scratch.again(rest).groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), order).alias("h"))
+        pairs = rest.select("key", "doc_id", "component").join(hubs, "key").filter("component != h.component")
+        pairs = likely(pairs.select("doc_id", F.col("h.doc_id").alias("hub")).distinct())
+        if not pairs.isEmpty():
+            known = joined(known, confirmed(pairs))
+        rest = rest.drop("component")
+    # What is left gets longer signatures, whose estimate is that much closer, before all its pairs are held together.
+    rest = with_component(rest, known)
+    keys = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
+    rest = scratch.save(rest.join(keys, "key", "left_semi"))
+    finer, longs = _signer(FINE, FINE, width, _bitmap(rest.select("doc_id")))
+    signs = [f"s{i}" for i in range(longs)]
+    fine = texts.mapInArrow(finer, "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"{s} long" for s in signs) + ", bands array<long>")
+    rest = scratch.save(rest.join(scratch.save(fine.select("doc_id", "n_shingles", *signs)), "doc_id"))
+    own = scratch.again(rest).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # no more than its bands
+    rest = scratch.save(rest.join(own, "doc_id"))
+    near = _estimate(longs, FINE) >= percent / 100 - slack * (perms / FINE) ** 0.5
+    other = scratch.again(rest).alias("b")
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
+    pairs = rest.alias("a").join(other, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc_id") > F.col("b.doc_id")) & alike & near & once)
     pairs = scratch.save(pairs.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct())
     if not pairs.isEmpty():
-        known = connected_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(confirmed(pairs)), scratch)
+        known = joined(known, confirmed(pairs))
     out = with_component(signed.select("doc_id", "n_shingles"), known)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
