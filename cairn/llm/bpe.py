@@ -31,11 +31,7 @@ def _prime(n: int) -> int:
 
 @functools.lru_cache(4)
 def rank_map(path: str) -> tuple[list[int], list[int]]:
-    """All pairs of tokens that join to a token, as a displacement hash map: displacements, and slots of pair and rank.
-
-    A pair is left << 17 | right, its slot (pair % slots + displacements[pair % len(displacements)]) % slots, which holds
-    pair << 17 | rank; other slots hold -1.
-    """
+    """All pairs of tokens that join to a token, with its rank, as displacement_map."""
     ranks = read_ranks(path)
     pairs = {}
     for token, rank in ranks.items():
@@ -43,6 +39,15 @@ def rank_map(path: str) -> tuple[list[int], list[int]]:
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
                 pairs[a << _SHIFT | b] = rank
+    return displacement_map(pairs)
+
+
+def displacement_map(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Ranks of pairs (left << 17 | right) as a hash map without collisions: displacements, and slots of pair and rank.
+
+    A pair's slot is (pair % slots + displacements[pair % len(displacements)]) % slots and holds pair << 17 | rank;
+    other slots hold -1.
+    """
     size, spread = _prime(int(1.4 * len(pairs)) + 11), _prime(len(pairs) // 2 + 5)
     groups: dict[int, list[int]] = {}
     for p in pairs:
@@ -148,20 +153,9 @@ def _pair_ranks(left: np.ndarray, right: np.ndarray, moves: np.ndarray, slots: n
 _NONE = 1 << 40
 
 
-def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of words, one after the other, and where each word's begin (with the end).
-
-    The fold of fold_merges over all words at once: in each turn every word that has a pair left joins its pair of least rank."""
-    ranks, of, moves, slots = _tables(path)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    whole = {k: [r] for k, w in enumerate(words) if (r := ranks.get(w)) is not None}
-    whole |= {int(k): merge_long(words[k], ranks) for k in np.flatnonzero(sizes >= LONG) if k not in whole}
-    word = np.repeat(np.arange(len(words)), sizes)
-    token = of[np.frombuffer(b"".join(words), np.uint8)]
-    if whole:
-        rest = np.ones(len(words), bool)
-        rest[list(whole)] = False
-        token, word = token[rest[word]], word[rest[word]]
+def fold_flat(word: np.ndarray, token: np.ndarray, moves: np.ndarray, slots: np.ndarray, result: np.ndarray | None = None) -> list[tuple]:
+    """Parts (word, token) of all words' tokens after all merges. word numbers the tokens' words and rises. A rank's pair joins
+    to the token result[rank], or the rank itself. In each turn every word that has a pair left joins its pair of least rank."""
     done = [(word[:0], token[:0])]
     rank = np.full(len(token), _NONE, np.int64)
     if len(token):
@@ -180,7 +174,7 @@ def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
                 break
         at = np.flatnonzero(rank == each)
         at = at[np.concatenate(([True], word[at][1:] != word[at][:-1]))]
-        token[at] = each[at]
+        token[at] = each[at] if result is None else result[each[at]]
         stay = np.ones(len(token), bool)
         stay[at + 1] = False
         at = at - np.arange(len(at))
@@ -189,6 +183,24 @@ def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
         for near in (at[at + 1 < len(token)], at[at > 0] - 1):
             near = near[word[near] == word[near + 1]]
             rank[near] = _pair_ranks(token[near], token[near + 1], moves, slots)
+    return done
+
+
+def merge_words(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of words, one after the other, and where each word's begin (with the end).
+
+    The fold of fold_merges over all words at once."""
+    ranks, of, moves, slots = _tables(path)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    whole = {k: [r] for k, w in enumerate(words) if (r := ranks.get(w)) is not None}
+    whole |= {int(k): merge_long(words[k], ranks) for k in np.flatnonzero(sizes >= LONG) if k not in whole}
+    word = np.repeat(np.arange(len(words)), sizes)
+    token = of[np.frombuffer(b"".join(words), np.uint8)]
+    if whole:
+        rest = np.ones(len(words), bool)
+        rest[list(whole)] = False
+        token, word = token[rest[word]], word[rest[word]]
+    done = fold_flat(word, token, moves, slots)
     if whole:
         done.append((np.repeat(list(whole), [len(t) for t in whole.values()]), np.concatenate([np.array(t, np.int64) for t in whole.values()])))
     word, token = (np.concatenate(x) for x in zip(*done))

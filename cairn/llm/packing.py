@@ -3,81 +3,136 @@
 from __future__ import annotations
 
 import functools
+import json
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import bpe
 from .common import Scratch
 
-#: Distinct chunks of text whose tokens a worker keeps, and most simplex rounds (any round's basis packs everything).
-KEPT, ROUNDS = 400_000, 3000
+#: Characters of text whose distinct chunks are encoded together, bytes from which on a word goes to the library instead, and
+#: most simplex rounds (any round's basis packs everything).
+BLOCK, LONG, ROUNDS = 12 << 20, 200, 2000
 
 
 @functools.lru_cache(2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True
+    return out
 
 
-class Chunks(dict):
-    """Token ids of chunks between white space; tokens never cross it, and neither lower case nor NFC does.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else the next from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
 
-    Unknown chunks are encoded together, parted by U+0000, which is a token of its own; a chunk with U+0000 goes alone."""
+
+class WordEncoder:
+    """Token ids of chunks between white space, for lower-casing BPE with word ends (NFC, lower case, then byte-level merges).
+
+    Neither normal form, lower case nor tokens cross white space, so a text's ids are its chunks' ids one after the other."""
 
     def __init__(self, path: str) -> None:
         import regex
 
-        self.encode = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        tok = _tokenizer(path)
-        tok.encode_special_tokens = True
-        self.mark = self.encode("\x00")
-        assert len(self.mark) == 1
-        self.space, self.odd = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, end = spec["model"], spec["model"]["end_of_word_suffix"]
+        steps = spec["pre_tokenizer"]["pretokenizers"]
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+            raise ValueError(f"{path} is no lower-casing byte-level BPE with word ends")
+        vocab, letters = model["vocab"], _byte_letters()
+        self.inner = np.array([vocab[x] for x in letters], np.int64)
+        self.last = np.array([vocab[x + end] for x in letters], np.int64)
+        pairs, joined = {}, []
+        for rank, merge in enumerate(model["merges"]):
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            pairs.setdefault(vocab[a] << bpe._SHIFT | vocab[b], rank)
+            joined.append(vocab[a + b])
+        self.result = np.array(joined, np.int64)
+        self.moves, self.slots = (np.array(x, np.int64) for x in bpe.displacement_map(pairs))
+        self.words = regex.compile(steps[0]["pattern"]["Regex"] + "| ").findall
+        self.space, self.odd = regex.compile(r"\s+"), regex.compile("[\x00-\x1f]")
+        self.path = path
 
     def split(self, text: str) -> list[str]:
         """At Unicode white space; str.split() also takes U+001C to U+001F for it, which the tokenizer does not."""
-        return [x for x in self.space.split(text) if x] if self.odd.search(text) else text.split()
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self) > KEPT:
-            self.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        for c in [c for c in new if "\x00" in c]:
-            self[c] = self.encode(c)
-        new = [c for c in new if "\x00" not in c]
-        for s in range(0, len(new), 20_000):
-            some = new[s : s + 20_000]
-            ids = self.encode(" \x00 ".join(some))
-            cuts = np.flatnonzero(ids == self.mark[0])
-            parts = np.split(ids, cuts)
-            for k, (c, p) in enumerate(zip(some, parts, strict=True)):
-                self[c] = p[1:] if k else p
-
-    def ids(self, chunks: list[str]) -> np.ndarray:
-        return np.concatenate([self[c] for c in chunks]) if chunks else np.empty(0, np.uint32)
+        return [x for x in self.space.split(text) if x] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and where each chunk's begin (with the end)."""
+        text = " ".join(chunks)
+        alone = set()
+        if self.odd.search(text) or max(map(len, chunks), default=0) >= LONG:
+            alone = {k for k, c in enumerate(chunks) if len(c) >= LONG or self.odd.search(c)}
+            text = " ".join("" if k in alone else c for k, c in enumerate(chunks))
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # no final form of sigma
+        # Words and the spaces between chunks, each ended by a line break.
+        codes = np.frombuffer("\n".join([*self.words(text.lower()), ""]).encode("utf-8", "replace"), np.uint8)
+        stop = codes == 10
+        of_word = np.cumsum(stop) - stop
+        chunk = np.cumsum(codes[np.flatnonzero(stop) - 1] == 32) if len(codes) else np.empty(0, np.int64)
+        tokens = self.inner[codes]
+        ends = np.flatnonzero(stop) - 1
+        tokens[ends] = self.last[codes[ends]]
+        inside = ~stop & (codes != 32)
+        word_of = of_word[inside]
+        done = bpe.fold_flat(word_of, tokens[inside], self.moves, self.slots, self.result)
+        word, token = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        of, token = chunk[word[order]], token[order]
+        if alone:
+            tok = _tokenizer(self.path)
+            more = [(k, tok.encode(chunks[k], add_special_tokens=False).ids) for k in sorted(alone)]
+            of = np.concatenate([of, *(np.full(len(ids), k) for k, ids in more)]).astype(np.int64)
+            token = np.concatenate([token, *(np.array(ids, np.int64) for _, ids in more)]).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            of, token = of[order], token[order]
+        return token.astype(np.uint32), np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(chunks)))))
 
 
 def _cutter(path: str, capacity: int, end: int, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
-        known = Chunks(path)
-        last = np.array([end], "<u4")
+        encoder = WordEncoder(path)
+        last = np.array([end], np.uint32)
+
+        def finish(docs, refs, numbers):
+            tokens, ends = encoder.encode(list(numbers))
+            counts = np.diff(ends)
+            rows = []
+            for i, r in zip(docs, refs):
+                ids = np.concatenate((bpe._ragged(tokens, ends[r], counts[r]) if len(r) else tokens[:0], last)).astype("<u4")
+                for a in range(0, len(ids), capacity):
+                    raw = ids[a : a + capacity].tobytes()
+                    rows.append((i, a, len(raw) // 4, zlib.crc32(raw), len(ids), raw if with_ids else None))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+        docs, refs, numbers, size = [], [], bpe._Numbers(), 0
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for s in range(0, len(docs), 256):
-                split = [known.split(t or "") for t in texts[s : s + 256]]
-                known.learn([c for x in split for c in x])
-                rows = []
-                for i, chunks in zip(docs[s : s + 256], split):
-                    ids = np.concatenate((known.ids(chunks), last)).astype("<u4")
-                    for a in range(0, len(ids), capacity):
-                        raw = ids[a : a + capacity].tobytes()
-                        rows.append((i, a, len(raw) // 4, zlib.crc32(raw), len(ids), raw if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+            for i, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py() or ""
+                chunks = encoder.split(text)
+                docs.append(i.as_py())
+                refs.append(np.fromiter(map(numbers.__getitem__, chunks), np.int32, len(chunks)))
+                size += len(text)
+                if size >= BLOCK:
+                    yield finish(docs, refs, numbers)
+                    docs, refs, numbers, size = [], [], bpe._Numbers(), 0
+        if docs:
+            yield finish(docs, refs, numbers)
 
     return cut
 

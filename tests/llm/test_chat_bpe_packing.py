@@ -130,6 +130,15 @@ def test_op3_against_tokenizers(spark, sf_dir):
     assert n <= 1.05 * sum(map(len, docs.values())) / 4096 + 1
 
 
+def test_word_encoder_is_the_library():
+    path = queries.tokenizer("word_bpe_49k.json")
+    tok, enc = packing._tokenizer(path), packing.WordEncoder(path)
+    texts = [t or "" for t in ODD] + ["Don't we'LL 123.45 «Ça» ΟΔΟΣ\u0301 e\u0301É ﬁ ǅ K Å \u00a0x\u2003y z\u0345", "a" * 500 + " b" * 3, "\u0300x 👩‍👩‍👧 ﷺ ½ Ⅷ ٣"]
+    for t in texts:
+        chunks = enc.split(t)
+        assert enc.encode(chunks)[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_odd_texts(spark, odd):
     path = queries.tokenizer("word_bpe_49k.json")
     tok = packing._tokenizer(path)
