@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, text_chunks
+from .common import Scratch, bitmap, marked, text_chunks
 from .components import connected_components
 
 _U = np.uint64
@@ -100,7 +100,7 @@ def _signer(perms: int, rows: int, width: int, marks: np.ndarray | None = None):
     def sign(batches):
         np.seterr(over="ignore")
         for batch in batches:
-            batch = batch if marks is None else _marked(batch, marks)
+            batch = batch if marks is None else marked(batch, marks)
             ids = batch.column(0)
             for row, offsets, data in text_chunks(batch.column(1), _CHUNK):
                 sets = shingle_sets(offsets, data, width)
@@ -136,30 +136,11 @@ def _signer(perms: int, rows: int, width: int, marks: np.ndarray | None = None):
     return sign, longs
 
 
-#: Bits of the map that says which texts a round of confirmation reads again: 2 MB whatever the input. It only spares the
-#: other texts the work; where it is full, all are read, and the join that follows picks the right ones.
-MARKS = 1 << 24
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    at = F.pmod(F.col("doc_id"), F.lit(MARKS))
-    words = ids.select(F.shiftright(at, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(doc_id, 32) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(MARKS // 32, np.int64)
-    found = words.toPandas()
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
-    return out.astype(np.uint32)
-
-
-def _marked(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
-    ids = batch.column(0).cast("int64").fill_null(0).to_numpy() % MARKS
-    return batch.filter(pa.array((marks[ids >> 5] >> (ids & 31).astype(np.uint32)) & 1 == 1))
-
-
 def _set_reader(width: int, marks: np.ndarray):
     def read(batches):
         np.seterr(over="ignore")
         for batch in batches:
-            batch = _marked(batch, marks)
+            batch = marked(batch, marks)
             for row, offsets, data in text_chunks(batch.column(1), _CHUNK):
                 sets = shingle_sets(offsets, data, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
@@ -237,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, perms: i
         return scratch.save(both.select(F.col("a.doc_id").alias("u"), F.col("a.hub").alias("v")).distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        marks = _bitmap(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
+        marks = bitmap(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
         sets = scratch.save(texts.mapInArrow(_set_reader(width, marks), "doc_id long, shingles binary"))
         full = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v").join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u")
         links = scratch.save(full.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long").distinct())
@@ -269,7 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, perms: i
     rest = with_component(rest, known)
     keys = rest.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("key")
     rest = scratch.save(rest.join(keys, "key", "left_semi"))
-    finer, longs = _signer(FINE, FINE, width, _bitmap(rest.select("doc_id")))
+    finer, longs = _signer(FINE, FINE, width, bitmap(rest.select("doc_id")))
     signs = [f"s{i}" for i in range(longs)]
     fine = texts.mapInArrow(finer, "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"{s} long" for s in signs) + ", bands array<long>")
     rest = scratch.save(rest.join(scratch.save(fine.select("doc_id", "n_shingles", *signs)), "doc_id"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch
+from .common import MARKS, Scratch, bitmap, marked
 
 #: A term needs this many contexts (words before it, hashed to 64) in toxic documents, and this share of them at equal numbers
 #: of toxic and clean documents. Copies of one document repeat its contexts, so they don't make its words terms.
@@ -120,54 +122,71 @@ def features(text: str, kinds: Matches) -> list[float]:
     return [*np.log1p(counts).tolist(), float(np.log1p(dense)), len(hits) / max(1, len(words)) * 100]
 
 
-def _word_counts(batches):
-    """Per word or stem (with `*`): contexts in toxic and in clean documents as bits, and documents of either kind."""
-    schema = pa.schema([("term", pa.string()), ("bits", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
-    held: dict[str, list[int]] = {}
-
-    def flush():
-        keys = list(held)
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [pa.array([held[k][i] - (1 << 64) * (i == 0 and held[k][i] >= 1 << 63) for k in keys], pa.int64()) for i in range(3)], schema=schema)
-        held.clear()
-        return out
-
-    import zlib
-
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen: dict[str, int] = {}
-            last = ""
-            for word in (text or "").split():
-                plain = normal(word) if len(word) < 64 else ""
-                if len(plain) < 3:
-                    last = plain
-                    continue
-                bit = 1 << (zlib.crc32(last.encode("utf-8", "replace")) & 63) if toxic else 0
-                seen[plain] = seen.get(plain, 0) | bit
-                for k in STEMS:
-                    if len(plain) > k:
-                        stem = plain[:k] + "*"
-                        seen[stem] = seen.get(stem, 0) | bit
-                last = plain
-            for term, bits in seen.items():
-                row = held.setdefault(term, [0, 0, 0])
-                row[0] |= bits
-                row[1 if toxic else 2] += 1
-            if len(held) > 300_000:
-                yield flush()
-    yield flush()
-
-
-def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
-    """Terms and stems of texts (text, toxic). Counts cover all rows; at most 2 * MOST_TERMS rows reach the driver."""
+def _term_bit(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "replace")) % MARKS
+
+
+def _word_counts(marks: np.ndarray | None = None):
+    """mapInArrow function of texts: per word or stem (with `*`) its contexts as bits, and documents. With marks, only marked terms."""
+    schema = pa.schema([("term", pa.string()), ("mark", pa.int64()), ("bits", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        held: dict[str, list[int]] = {}
+        known: dict[str, tuple] = {}
+
+        def terms(word: str) -> tuple:
+            """A word as it counts for the next one's context, and its terms."""
+            plain = normal(word) if len(word) < 64 else ""
+            out = (plain, *(plain[:k] + "*" for k in STEMS if len(plain) > k)) if len(plain) >= 3 else ()
+            if marks is not None:
+                out = tuple(t for t in out if marks[(b := _term_bit(t)) >> 5] >> np.uint32(b & 31) & 1)
+            if len(known) > 400_000:
+                known.clear()
+            known[word] = found = (1 << (zlib.crc32(plain.encode("utf-8", "replace")) & 63), out)
+            return found
+
+        def flush():
+            keys = list(held)
+            bits = [held[k][0] - (1 << 64) * (held[k][0] >= 1 << 63) for k in keys]
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([_term_bit(k) for k in keys], pa.int64()), pa.array(bits, pa.int64()), pa.array([held[k][1] for k in keys], pa.int64())], schema=schema)
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen: dict[str, int] = {}
+                last = 1
+                for word in (text.as_py() or "").split():
+                    bit, own = known.get(word) or terms(word)
+                    for t in own:
+                        seen[t] = seen.get(t, 0) | last
+                    last = bit
+                for term, bits in seen.items():
+                    row = held.setdefault(term, [0, 0])
+                    row[0] |= bits
+                    row[1] += 1
+                if len(held) > 300_000:
+                    yield flush()
+        yield flush()
+
+    return count
+
+
+def learn_lexicon(texts: DataFrame, scratch: Scratch) -> tuple[list[str], list[str]]:
+    """Terms and stems of texts (text, toxic). Counts cover all rows: those of toxic texts find candidates, those of
+    clean ones are of candidates alone. At most 2 * MOST_TERMS rows and a bitmap of fixed size reach the driver."""
     numbers = dict(texts.groupBy("toxic").count().collect())
     n1, n0 = numbers.get(1, 0), numbers.get(0, 0)
     if not n1 or not n0:
         return [], []
-    counts = texts.select("text", "toxic").mapInArrow(_word_counts, "term string, bits long, toxic long, clean long")
-    sums = counts.groupBy("term").agg(F.bit_count(F.bit_or("bits")).alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    schema = "term string, mark long, bits long, n long"
+    toxic = texts.filter("toxic = 1").select("text").mapInArrow(_word_counts(), schema)
+    toxic = toxic.groupBy("term", "mark").agg(F.bit_count(F.bit_or("bits")).alias("contexts"), F.sum("n").alias("toxic")).filter(F.col("contexts") >= CONTEXTS)
+    toxic = scratch.save(toxic)
+    clean = texts.filter("toxic = 0").select("text").mapInArrow(_word_counts(bitmap(toxic, "mark")), schema).groupBy("term").agg(F.sum("n").alias("clean"))
+    sums = toxic.join(clean, "term", "left").fillna(0, ["clean"])
     share = (F.col("toxic") / n1) / (F.col("toxic") / n1 + (F.col("clean") + 0.5) / n0)
-    good = sums.filter((F.col("contexts") >= CONTEXTS) & (share >= PURITY)).orderBy(F.desc("contexts"), F.desc("toxic"), "term")
+    good = sums.filter(share >= PURITY).orderBy(F.desc("contexts"), F.desc("toxic"), "term")
     terms = [r[0] for r in good.filter(~F.endswith("term", F.lit("*"))).limit(MOST_TERMS).collect()]
     stems = [r[0][:-1] for r in good.filter(F.endswith("term", F.lit("*"))).limit(MOST_TERMS).collect()]
     return terms, stems
@@ -214,7 +233,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic")).filter(~held_out(F.col("doc_id")))
-    terms, stems = learn_lexicon(texts.join(known, "doc_id"))
+    marks = bitmap(known.select(F.col("doc_id").cast("long").alias("doc_id")))
+
+    def labelled(batches):
+        for batch in batches:
+            yield marked(batch, marks)
+
+    some = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(labelled, "doc_id long, text string")
+    taught = scratch.save(some.join(known.hint("merge"), "doc_id").select("text", "toxic"))
+    terms, stems = learn_lexicon(taught, scratch)
+    scratch.drop(taught)
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
     rows = scratch.save(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_reader(terms, stems), schema))
     sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(MOST_ROWS).select(*FEATURES, "toxic").toPandas()
