@@ -53,7 +53,7 @@ def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth: float = 1.0) -> list[float]:
     """log(target / raw) of each bucket: docs (doc_id, text) are the raw corpus, those in trusted (doc_id) the target."""
-    marked = docs.join(trusted.select("doc_id").distinct().withColumn("target", F.lit(1)), "doc_id", "left")
+    marked = docs.join(trusted.select("doc_id").distinct().withColumn("target", F.lit(1)).hint("merge"), "doc_id", "left")
     grams = marked.select("target", words_of(F.coalesce("text", F.lit(""))).alias("words")).select("target", F.explode(gram_buckets(F.col("words"), buckets)).alias("g"))
     found = grams.groupBy("g").agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()  # at most `buckets` rows
     raw, target = [smooth] * buckets, [smooth] * buckets
@@ -100,7 +100,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     pairs between target and raw multinomials, smoothed by one count a bucket. kept is false if base_failed, else
     score >= threshold(); without labels of both kinds all that pass the base are kept. Windows of three words are told apart
     by 64-bit hashes. Repeated doc_ids keep their rows, null ones match no label; other columns are ignored; an empty
-    table gives an empty one. Counts gather `buckets` rows whatever the input, and no text is shuffled but to mark targets.
+    table gives an empty one. Counts gather `buckets` rows whatever the input. Texts are shuffled once, to mark targets;
+    the labels grow with the input and so are not broadcast.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
