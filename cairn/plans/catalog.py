@@ -64,7 +64,7 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w.upper()}'" for w in words) + "]"
 
 
-WORDS = f"""w0 AS (SELECT conv_id AS call, turn, role, regexp_extract_all(replace(upper(text), 'ß', 'SS'), '[A-Z]+') AS w FROM conversations),
+WORDS = f"""w0 AS (SELECT conv_id AS call, turn, role, regexp_extract_all(replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS'), '[A-Z]+') AS w FROM conversations),
 words AS (SELECT call, turn, role, len(w) AS nw, len(list_filter(w, lambda x: list_contains({_list(POSITIVE)}, x))) AS pos, len(list_filter(w, lambda x: list_contains({_list(NEGATIVE)}, x))) AS neg FROM w0)"""
 POINTS = "points AS (SELECT call, role, sum(nw) AS w, sum(pos) / sum(nw) AS p, sum(neg) / sum(nw) AS n FROM words GROUP BY 1, 2 HAVING sum(nw) > 0)"
 
