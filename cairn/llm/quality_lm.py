@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, text_chunks
+from .common import Scratch, bitmap, marked, text_chunks
 
 #: Symbols of the model: 0 stands before a text, 1 for all characters but the SYMBOLS - 2 most frequent of trusted text.
 #: SYMBOLS ** 3 bounds every count table and the probability table that tasks get (8 MB).
@@ -144,8 +144,16 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99
     scratch = Scratch(spark, "perplexity")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = texts.join(trusted, "doc_id", "left_semi").select("text")
+    marks = bitmap(trusted)
+
+    def likely(batches):
+        for batch in batches:
+            yield marked(batch, marks)
+
+    some = texts.select("doc_id", "text").mapInArrow(likely, "doc_id long, text string")
+    chosen = scratch.save(some.join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
     alphabet, logs = train(chosen, scratch)
+    scratch.drop(chosen)
     if not alphabet:
         none = F.lit(None).cast("double")
         return texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
