@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,7 +35,8 @@ def path_templates(urls: DataFrame, depth: int = 4, many: int = 8, thin: float =
     of bad differs from their parent's by less than z standard errors are merged (`~`). Below `depth` all is `**`.
     """
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    now = urls.withColumn("parts", parts).withColumn("template", F.lit(""))
+    scratch = Scratch(urls.sparkSession, "urls")
+    now = scratch.save(urls.withColumn("parts", parts).withColumn("template", F.lit("")))
     for level in range(depth):
         part = F.get("parts", F.lit(level))
         now = now.withColumn("part", F.when(part.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), "{n}").otherwise(part))
@@ -48,6 +51,7 @@ def path_templates(urls: DataFrame, depth: int = 4, many: int = 8, thin: float =
         on = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")) & (F.col("part") == F.col("p"))
         now = now.join(named, on, "left").drop("h", "t", "p")
         now = now.withColumn("template", F.when(F.col("label").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "label"))).drop("label", "part")
+        now = scratch.save(now)  # short plans; a lost executor costs one level
     now = now.withColumn("template", F.when(F.size("parts") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     return now.drop("parts")
 
