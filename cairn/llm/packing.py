@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import bpe
 from .common import Scratch
 
-#: Characters of text whose distinct chunks are encoded together, bytes from which on a word goes to the library instead, and
-#: most simplex rounds (any round's basis packs everything).
-BLOCK, LONG, ROUNDS = 12 << 20, 200, 2000
+#: Characters of text whose distinct chunks are encoded once, chunks that are folded together (which bounds the fold's arrays), bytes
+#: from which on a word goes to the library instead, and most simplex rounds (any round's basis packs everything).
+BLOCK, FOLD, LONG, ROUNDS = 12 << 20, 1 << 14, 200, 2000
 
 
 @functools.lru_cache(2)
@@ -71,6 +71,12 @@ class WordEncoder:
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one after the other, and where each chunk's begin (with the end)."""
+        parts = [self._fold(chunks[a : a + FOLD]) for a in range(0, len(chunks), FOLD)]
+        none = np.empty(0, np.uint32)
+        return np.concatenate([none, *(t for t, _ in parts)]), np.concatenate(([0], np.cumsum(np.concatenate([none, *(n for _, n in parts)]), dtype=np.int64)))
+
+    def _fold(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after the other, and how many each has."""
         text = " ".join(chunks)
         alone = set()
         if self.odd.search(text) or max(map(len, chunks), default=0) >= LONG:
@@ -99,7 +105,7 @@ class WordEncoder:
             token = np.concatenate([token, *(np.array(ids, np.int64) for _, ids in more)]).astype(np.int64)
             order = np.argsort(of, kind="stable")
             of, token = of[order], token[order]
-        return token.astype(np.uint32), np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(chunks)))))
+        return token.astype(np.uint32), np.bincount(of, minlength=len(chunks))
 
 
 def _cutter(path: str, capacity: int, end: int, with_ids: bool):
