@@ -53,7 +53,7 @@ def prefix_role(speaker: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after . ! ? at white space before a capital, digit or quote; trimmed, none empty."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+(?=[A-Z0-9\"'])")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")  # a bare F.trim gets the index as what to trim
 
 
 def rough_sentence_count(text: Column) -> Column:

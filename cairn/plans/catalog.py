@@ -135,6 +135,12 @@ def sentence_counts(spark, sf_dir):
     return d.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
+@query()
+def sentence_counts_all(spark, sf_dir):
+    """A row for every document; DuckDB has no lookaround, so sentence_counts leaves out texts where its split would differ."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
 @query(f"WITH {SIGNALS} SELECT id, firm, round(x - lag(x) OVER (PARTITION BY firm ORDER BY day, id), 6) AS delta FROM signals")
 def lag_delta(spark, sf_dir):
     s = signals(spark, sf_dir).withColumn("t", F.struct("day", "id"))
