@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions import stats
@@ -32,12 +34,49 @@ def market_model_cars(panel: DataFrame, key: str, time: str, ret: str, market: s
     return sums.withColumn("car", F.when(full, F.col("v_r") - expected)).select(*panel.columns, "pos", "beta", "alpha", "car")
 
 
+#: Moved events of a key that one step of placebo_cars holds.
+MOVES = 1 << 20
+
+
+def _hash_int(value: np.ndarray | int, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int, continued from the hash of the columns before it."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(4)) ^ (np.asarray(value).astype(np.uint64) & np.uint64(0xFFFFFFFF)) * p1
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def placebo_cars(cars: DataFrame, events: DataFrame, key: str, iters: int = 1000, least: int = 22, most: int = 250, seed: int = 42) -> DataFrame:
-    """Mean car per turn with each event moved by a hashed number of rows, `least` to `most` either way: an equi-join."""
-    turns = events.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(iters))))
-    h = F.xxhash64(F.col(key), F.col("pos"), F.col("turn"), F.lit(seed))
-    move = (F.pmod(h, F.lit(most - least + 1)) + least) * F.when(F.pmod(F.shiftright(h, 40), F.lit(2)) == 0, 1).otherwise(-1)
-    return turns.withColumn("pos", (F.col("pos") + move).cast("int")).join(cars.select(key, "pos", "car"), [key, "pos"]).groupBy("turn").agg(F.avg("car").alias("car"), F.count("car").alias("n"))
+    """Mean car per turn with each event moved by a hashed number of rows, `least` to `most` either way.
+
+    Every event moves in every turn. Moves are made beside the cars of their key (one row per key and pos), so what is shuffled
+    are cars, events and a sum per key and turn, not events times turns."""
+
+    def move(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        size = 1 + max(held["pos"].max(), 0) if len(held) else 1
+        at = held["pos"].to_numpy(np.int64)
+        there, value = np.zeros(size, bool), np.full(size, np.nan)
+        there[at], value[at] = True, held["car"].to_numpy(np.float64)
+        pos, first = asked["at"].to_numpy(np.int64), asked["h"].to_numpy(np.int64).view(np.uint64)
+        rows, sums, known = (np.zeros(iters, t) for t in (np.int64, np.float64, np.int64))
+        step = max(1, MOVES // iters)
+        for a in range(0, len(pos), step):
+            h = _hash_int(seed, _hash_int(np.arange(1, iters + 1)[:, None], first[None, a : a + step])).view(np.int64)
+            to = pos[None, a : a + step] + (h % (most - least + 1) + least) * np.where((h >> 40) % 2 == 0, 1, -1)
+            inside = (to >= 0) & (to < size)
+            to = np.where(inside, to, 0)
+            hit, car = inside & there[to], value[to]
+            good = hit & ~np.isnan(car)
+            rows, sums, known = rows + hit.sum(1), sums + np.where(good, car, 0.0).sum(1), known + good.sum(1)
+        out = pd.DataFrame({"turn": np.arange(1, iters + 1, dtype=np.int32), "s": sums, "n": known})
+        return out[rows > 0]
+
+    held = cars.filter(F.col(key).isNotNull()).select(key, "pos", "car")
+    asked = events.filter(F.col(key).isNotNull() & F.col("pos").isNotNull()).select(F.col(key).alias("_k"), F.col("pos").alias("at"), F.xxhash64(F.col(key), F.col("pos")).alias("h"))
+    moved = held.groupBy(key).cogroup(asked.groupBy("_k")).applyInPandas(move, "turn int, s double, n long")
+    return moved.groupBy("turn").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("car"), F.sum("n").alias("n"))
 
 
 def bucket_cars(events: DataFrame, feature: str, car: str = "car", k: int = 3) -> DataFrame:

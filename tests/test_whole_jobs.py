@@ -1,8 +1,11 @@
 """Queries that no SQL can express, against Python over all rows."""
 
 import re
+from collections import defaultdict
 
-from cairn.plans import catalog
+from pyspark.sql import functions as F
+
+from cairn.plans import catalog, market
 
 
 def brute_sentences(text):
@@ -17,3 +20,36 @@ def test_sentence_counts_of_every_document(spark, sf_dir, tmp_path):
     got = [tuple(r) for r in catalog.QUERIES["sentence_counts_all"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((i, brute_sentences(t)) for i, t in rows)
     assert dict(got)[10**6 + 3] == 4
+
+
+def brute_placebo(spark, cars, events, iters, least, most):
+    """The mean car per turn, event by event, with the moves as Spark hashes them."""
+    at = {(r["key"], r["pos"]): r["car"] for r in cars.collect()}
+    turns = events.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(iters)))).withColumn("h", F.xxhash64("key", "pos", "turn", F.lit(42)))
+    found = defaultdict(list)
+    for r in turns.collect():
+        to = (r["key"], r["pos"] + (least + r["h"] % (most - least + 1)) * (1 if (r["h"] >> 40) % 2 == 0 else -1))
+        if to in at:
+            found[r["turn"]].append(at[to])
+    known = {t: [x for x in v if x is not None] for t, v in found.items()}
+    return {t: (sum(v) / len(v) if v else None, len(v)) for t, v in known.items()}
+
+
+def test_placebo_moves_every_event(spark, sf_dir):
+    panel = catalog._returns(spark, sf_dir).filter("key <= 2")
+    cars = market.market_model_cars(panel, "key", "date", "r", "m", (-1, 3), (-60, -11), 30).persist()
+    events = cars.filter("car is not null").select("key", "pos")
+    for limits in ((20, 22, 250), (300, 1, 3)):
+        got = {r["turn"]: (r["car"], r["n"]) for r in market.placebo_cars(cars, events, "key", *limits).collect()}
+        want = brute_placebo(spark, cars, events, *limits)
+        assert got.keys() == want.keys() and all(got[t][1] == n and abs(got[t][0] - c) < 1e-9 for t, (c, n) in want.items())
+    odd = spark.createDataFrame([(1, 5, 0.5), (1, 6, None), (2, 0, 1.0), (None, 5, 9.0)], "key long, pos int, car double")
+    got = {r["turn"]: (r["car"], r["n"]) for r in market.placebo_cars(odd, odd.select("key", "pos"), "key", 50, 1, 2).collect()}
+    assert got == brute_placebo(spark, odd.filter("key is not null"), odd.filter("key is not null").select("key", "pos"), 50, 1, 2)
+
+
+def test_placebo_query_takes_all_events_and_turns(spark, sf_dir):
+    out = catalog.QUERIES["placebo_fake_dates"](spark, sf_dir).collect()
+    cars = market.market_model_cars(catalog._returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30)
+    events = cars.filter("car is not null").count()
+    assert sorted(r["turn"] for r in out) == list(range(1, 1001)) and all(events / 2 < r["n"] <= events for r in out)
