@@ -18,6 +18,9 @@ TILE = 4096
 LEADS, LEAD_WIDTH = 12, 4.5
 #: Probability with which a pair at the threshold may miss the collision count.
 MISS = 1e-6
+#: Half-width, in standard deviations, of the range read around a block on the sorted line: a pair at the threshold falls outside
+#: with a probability of 6e-7. The narrower windows of the count decide nothing by one line alone.
+REACH = 5.0
 
 
 def directions(dim: int, count: int) -> np.ndarray:
@@ -83,6 +86,7 @@ def _cells(half: float):
 
 def _tile(cosine: float, projections: int, widths: float):
     half, need = widths * window(cosine), needed_collisions(projections, widths)
+    reach = np.float32(max(REACH, widths) * window(cosine) * (1 + 1e-5))
 
     def count(home: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"kind": pd.Series(dtype="int32"), "u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
@@ -101,8 +105,8 @@ def _tile(cosine: float, projections: int, widths: float):
         found = []
         for a in range(0, len(qid), 256):
             q = qp[a : a + 256]
-            lo, hi = np.searchsorted(hp[:, 0], [q[0, 0] - slackened, q[-1, 0] + slackened], side="left")
-            hi = int(np.searchsorted(hp[:, 0], q[-1, 0] + slackened, side="right"))
+            lo = int(np.searchsorted(hp[:, 0], q[0, 0] - reach, side="left"))
+            hi = int(np.searchsorted(hp[:, 0], q[-1, 0] + reach, side="right"))
             if hi <= lo:
                 continue
             h = hp[lo:hi]
@@ -149,6 +153,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, projections: int = 24
     A pair at the threshold differs by a normal deviate of known deviation on each random line, so it falls into the window
     of `widths` deviations around the asking vector with known probability; the count of collisions over all lines that a
     candidate must reach is the largest that such a pair reaches with probability 1 - 1e-6. The cosine confirms candidates.
+    Vectors are sorted by the first line and a block is held against all within REACH deviations of it, which such a pair misses
+    with probability 6e-7.
     A label with more than TILE vectors is cut into cells by the signs of leading projections: a vector is at home in one
     cell and asks in every cell that its window touches. Cells above TILE are dealt out in tiles, each pair of tiles one
     task. A task returns one link count and at most one edge per vector, so a dense group costs its size in rows.
