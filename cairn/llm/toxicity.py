@@ -13,8 +13,8 @@ from .common import MARKS, Scratch, bitmap, marked
 #: A term needs this many contexts (words before it, hashed to 64) in toxic documents, and this share of them at equal numbers
 #: of toxic and clean documents. Copies of one document repeat its contexts, so they don't make its words terms.
 CONTEXTS, PURITY = 6, 0.97
-#: Most terms of either kind (those in most contexts go first), and most labelled rows that the regression is fitted on.
-MOST_TERMS, MOST_ROWS = 2000, 50_000
+#: Most labelled rows that the regression is fitted on.
+MOST_ROWS = 50_000
 #: Beginnings of words that may be terms, the least length for one edit, words on either side of a match that are its context.
 STEMS, FUZZY, WINDOW = (4, 5, 6), 5, 6
 QUOTES = "\"“”„«»‘’'"
@@ -173,8 +173,9 @@ def _word_counts(marks: np.ndarray | None = None):
 
 
 def learn_lexicon(texts: DataFrame, scratch: Scratch) -> tuple[list[str], list[str]]:
-    """Terms and stems of texts (text, toxic). Counts cover all rows: those of toxic texts find candidates, those of
-    clean ones are of candidates alone. At most 2 * MOST_TERMS rows and a bitmap of fixed size reach the driver."""
+    """Terms and stems of texts (text, toxic), all that reach CONTEXTS and PURITY. Counts cover all rows: those of toxic texts
+    find candidates, those of clean ones are of candidates alone. The lexicon, which grows with the vocabulary, and a bitmap of
+    fixed size reach the driver; tasks get the whole lexicon and build its trie."""
     numbers = dict(texts.groupBy("toxic").count().collect())
     n1, n0 = numbers.get(1, 0), numbers.get(0, 0)
     if not n1 or not n0:
@@ -186,15 +187,13 @@ def learn_lexicon(texts: DataFrame, scratch: Scratch) -> tuple[list[str], list[s
     clean = texts.filter("toxic = 0").select("text").mapInArrow(_word_counts(bitmap(toxic, "mark")), schema).groupBy("term").agg(F.sum("n").alias("clean"))
     sums = toxic.join(clean, "term", "left").fillna(0, ["clean"])
     share = (F.col("toxic") / n1) / (F.col("toxic") / n1 + (F.col("clean") + 0.5) / n0)
-    good = sums.filter(share >= PURITY).orderBy(F.desc("contexts"), F.desc("toxic"), "term")
-    terms = [r[0] for r in good.filter(~F.endswith("term", F.lit("*"))).limit(MOST_TERMS).collect()]
-    stems = [r[0][:-1] for r in good.filter(F.endswith("term", F.lit("*"))).limit(MOST_TERMS).collect()]
-    return terms, stems
+    good = sorted(r[0] for r in sums.filter(share >= PURITY).select("term").collect())
+    return [t for t in good if not t.endswith("*")], [t[:-1] for t in good if t.endswith("*")]
 
 
-def _reader(terms: list[str], stems: list[str]):
+def _reader(lexicon):
     def read(batches):
-        kinds = Matches(terms, stems)
+        kinds = Matches(*lexicon.value)
         for batch in batches:
             rows = np.array([features(t or "", kinds) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], ["doc_id", *FEATURES])
@@ -241,10 +240,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     some = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(labelled, "doc_id long, text string")
     taught = scratch.save(some.join(known.hint("merge"), "doc_id").select("text", "toxic"))
-    terms, stems = learn_lexicon(taught, scratch)
+    lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(taught, scratch))
     scratch.drop(taught)
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = scratch.save(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_reader(terms, stems), schema))
+    rows = scratch.save(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_reader(lexicon), schema))
     sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(MOST_ROWS).select(*FEATURES, "toxic").toPandas()
     y = sample["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
