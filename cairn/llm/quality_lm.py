@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, bitmap, marked, text_chunks
 
-#: Symbols of the model: 0 stands before a text, 1 for all characters but the SYMBOLS - 2 most frequent of trusted text.
-#: SYMBOLS ** 3 bounds every count table and the probability table that tasks get (8 MB).
+#: Symbols of the dense table of train(), which perplexity_filter does not use: 0 stands before a text, 1 for all characters but
+#: the SYMBOLS - 2 most frequent of trusted text.
 SYMBOLS = 128
+#: Bits of a symbol of the whole alphabet (code point + 1, 0 stands before a text) in the key of a trigram.
+BITS = 21
+#: Blocks that the documents of a file's split are dealt to, and the trigrams of a task's block that are merged at once.
+BLOCKS, HELD = 16, 1 << 20
 
 
 def _codes(offsets: np.ndarray, data: np.ndarray):
@@ -111,30 +115,100 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[list[int], np.ndarray]:
     return alphabet, np.log(full).reshape(-1)
 
 
-def _scorer(alphabet: list[int], model):
-    def score(batches):
-        table = _table(alphabet)
-        logs = model.value
-        for batch in batches:
-            for row, offsets, data in text_chunks(batch.column("text"), 1 << 21):
-                grams, sizes, ends = _grams(offsets, data, table)
-                sums = np.concatenate(([0.0], np.cumsum(logs[grams], dtype=np.float64)))
-                n = len(sizes)
-                total = sums[ends[1:]] - sums[ends[:-1]]
-                worth = np.where(sizes > 0, np.exp(-total / np.maximum(sizes, 1)), np.nan)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, n), batch.column("lang").slice(row, n), pa.array(sizes.astype(np.int64)), pa.array(np.round(worth, 9), mask=sizes == 0)],
-                    ["doc_id", "lang", "n_chars", "perplexity"],
-                )
+def _keys(offsets: np.ndarray, data: np.ndarray):
+    """The trigram that ends at each character, over the whole alphabet, with the texts' sizes and ends."""
+    points, sizes, ends = _codes(offsets, data)
+    c = points.astype(np.int64) + 1
+    b, a = np.zeros_like(c), np.zeros_like(c)
+    b[1:], a[2:] = c[:-1], c[:-2]
+    starts = ends[:-1][sizes > 0]
+    b[starts] = 0
+    a[starts] = 0
+    a[starts[sizes[sizes > 0] > 1] + 1] = 0
+    return (a << 2 * BITS) | (b << BITS) | c, sizes, ends
 
-    return score
+
+def _key_counts(batches):
+    for batch in batches:
+        for _, offsets, data in text_chunks(batch.column(0), 1 << 22):
+            at, n = np.unique(_keys(offsets, data)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["g", "n"])
+
+
+def _block_keys(batches):
+    """The distinct trigrams of each block (block, text) in a task."""
+    held: dict[int, list[np.ndarray]] = {}
+    sizes: dict[int, int] = {}
+    for batch in batches:
+        blocks = batch.column(0).to_numpy()
+        for block in np.unique(blocks).tolist():
+            for _, offsets, data in text_chunks(batch.column(1).filter(pa.array(blocks == block)), 1 << 22):
+                found = np.unique(_keys(offsets, data)[0])
+                held.setdefault(block, []).append(found)
+                sizes[block] = sizes.get(block, 0) + len(found)
+            if sizes.get(block, 0) > HELD:
+                held[block] = [np.unique(np.concatenate(held[block]))]
+                sizes[block] = 0
+    for block, parts in held.items():
+        g = np.unique(np.concatenate(parts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block, np.int64)), pa.array(g)], ["block", "g"])
+
+
+def _symbols(counts: DataFrame) -> DataFrame:
+    symbol = lambda k: F.shiftright("g", k * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    return counts.withColumns({"a": symbol(2), "b": symbol(1), "c": symbol(0)})
+
+
+def count_trigrams(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, n, a, b, c) of texts (text), dealt by trigram."""
+    return scratch.save(_symbols(texts.mapInArrow(_key_counts, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))))
+
+
+def log_probabilities(asked: DataFrame, tri: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, log) of distinct trigrams g by joins to the counts, dealt by trigram and context. Only tables by single symbols, which
+    Unicode bounds, are broadcast. A character that trusted text lacks has the share of one unseen symbol."""
+    bi = scratch.save(tri.groupBy("b", "c").agg(F.count("*").alias("m")))
+    uni = bi.groupBy("c").agg(F.count("*").alias("k"))
+    three, two = _order(tri, ["a", "b"], "n", "3"), _order(bi, ["b"], "m", "2")
+    total, symbols = uni.agg(F.sum("k"), F.count("*")).first()
+    mass = total + 0.5 * (symbols + 1)
+    low = uni.select("c", ((F.col("k") + 0.5) / mass).alias("low"))
+    out = _symbols(asked.select("g")).join(three.select("g", "head3").hint("merge"), "g", "left")
+    out = out.join(three.select("a", "b", "rest3").distinct().hint("merge"), ["a", "b"], "left")
+    out = out.join(two.select("b", "c", "head2").hint("merge"), ["b", "c"], "left")
+    out = out.join(F.broadcast(two.select("b", "rest2").distinct()), "b", "left").join(F.broadcast(low), "c", "left")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    pair = F.coalesce("head2", zero) + F.coalesce("rest2", one) * F.coalesce("low", F.lit(0.5 / mass))
+    return out.select("g", F.log(F.coalesce("head3", zero) + F.coalesce("rest3", one) * pair).alias("log"))
+
+
+def _score(texts: pa.Table, known: pa.Table) -> pa.Table:
+    """Perplexities of a block's texts by the log-probabilities of its trigrams."""
+    g, logs = known.column("g").to_numpy(), known.column("log").to_numpy()
+    order = np.argsort(g, kind="stable")
+    g, logs = g[order], logs[order]
+    counts, worths = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for _, offsets, data in text_chunks(texts.column("text"), 1 << 21):
+        keys, sizes, ends = _keys(offsets, data)
+        at = np.searchsorted(g, keys)
+        if len(keys) and (not len(g) or at.max() >= len(g) or (g[at] != keys).any()):
+            raise ValueError("a block lacks trigrams of its texts: the two reads of the documents differ")
+        sums = np.concatenate(([0.0], np.cumsum(logs[at]))) if len(keys) else np.zeros(1)
+        total = sums[ends[1:]] - sums[ends[:-1]]
+        counts.append(sizes)
+        worths.append(np.where(sizes > 0, np.exp(-total / np.maximum(sizes, 1)), np.nan))
+    n = np.concatenate(counts).astype(np.int64)
+    worth = pa.array(np.round(np.concatenate(worths), 9), mask=n == 0)
+    return pa.table([texts.column("doc_id"), texts.column("lang"), pa.array(n), worth], ["doc_id", "lang", "n_chars", "perplexity"])
 
 
 def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, margin: float = 1.05) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): n_chars, perplexity, threshold, kept. labels (doc_id, quality): 1 is trusted.
 
-    A trigram character model with modified Kneser-Ney discounts at every order is trained on all trusted documents; counts
-    are summed per task and then dealt by n-gram, contexts joined by shard. A document's perplexity is per character, null
+    A trigram model of all characters of Unicode with modified Kneser-Ney discounts at every order is trained on all trusted
+    documents; counts are summed per task and then dealt by n-gram, contexts joined by shard, and grow with trusted text. Documents
+    are dealt to blocks, whose distinct trigrams are joined to the counts by shard and meet the block's texts again. Both reads of
+    docs must give the same rows. A document's perplexity is per character, null
     without text. It is kept up to margin times the `quantile` of its language's trusted documents; a language without any
     takes the one of all; without trusted documents everything is kept, with null perplexity and threshold. Null
     languages are one language, texts without characters are kept. Repeated doc_ids keep their rows; other columns are
@@ -152,13 +226,17 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99
 
     some = texts.select("doc_id", "text").mapInArrow(likely, "doc_id long, text string")
     chosen = scratch.save(some.join(trusted.hint("merge"), "doc_id", "left_semi").select("text"))
-    alphabet, logs = train(chosen, scratch)
+    tri = count_trigrams(chosen, scratch)
     scratch.drop(chosen)
-    if not alphabet:
+    if tri.isEmpty():
         none = F.lit(None).cast("double")
         return texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    model = spark.sparkContext.broadcast(logs)
-    scored = scratch.save(texts.mapInArrow(_scorer(alphabet, model), "doc_id long, lang string, n_chars long, perplexity double"))
+    block = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS)))
+    asks = scratch.save(texts.select(block.alias("block"), "text").mapInArrow(_block_keys, "block long, g long"))
+    logs = scratch.save(log_probabilities(asks.select("g").distinct(), tri, scratch))
+    known = scratch.again(asks).join(logs.hint("merge"), "g").select(F.col("block").alias("of"), "g", "log")
+    dealt = texts.select(block.alias("block"), "doc_id", "lang", "text").groupBy("block")
+    scored = scratch.save(dealt.cogroup(known.groupBy("of")).applyInArrow(_score, "doc_id long, lang string, n_chars long, perplexity double"))
     good = scored.join(trusted, "doc_id", "left_semi").filter("perplexity is not null")
     rank = F.percentile_approx("perplexity", quantile, 10000)
     limits = good.groupBy("lang").agg(rank.alias("own"))

@@ -1,6 +1,8 @@
+import math
 import random
+from collections import Counter
 
-from cairn.llm import toxicity
+from cairn.llm import quality_lm, toxicity
 from cairn.llm.common import Scratch
 
 
@@ -20,3 +22,38 @@ def test_lexicon_keeps_every_term(spark):
     rows += [(100 + i, " ".join(rng.sample(clean, 100)), 0) for i in range(60)]
     found, stems = toxicity.learn_lexicon(spark.createDataFrame([r[1:] for r in rows], "text string, toxic int"), Scratch(spark, "t"))
     assert sorted(found) == sorted(terms) and not stems
+
+
+def brute_logs(texts):
+    """Interpolated Kneser-Ney log-probability of every trigram, from counts in dictionaries; discounts of small tables."""
+    grams = Counter(g for t in texts for g in zip(*("\0\0" + t, "\0" + t, t)))
+    pairs = Counter((b, c) for _, b, c in grams)
+    ones = Counter(c for _, c in pairs)
+    d = lambda n: {1: 0.5, 2: 0.75}.get(n, 0.9)
+
+    def share(counts, key):
+        same = [n for k, n in counts.items() if k[:-1] == key[:-1]]
+        return ((counts[key] - d(counts[key])) / sum(same) if key in counts else 0.0, sum(map(d, same)) / sum(same)) if same else (0.0, 1.0)
+
+    def log(g):
+        low = (ones.get(g[2], 0) + 0.5) / (sum(ones.values()) + 0.5 * (len(ones) + 1))
+        (h2, r2), (h3, r3) = share(pairs, g[1:]), share(grams, g)
+        return math.log(h3 + r3 * (h2 + r2 * low))
+
+    return log
+
+
+def test_perplexity_tells_all_characters_apart(spark):
+    letters = "".join(chr(0x4E00 + i) for i in range(200))
+    trusted = [letters, letters[:100], "она пришла домой"]
+    docs = [*trusted, letters[::-1], "йомод алширп", "zz", "", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["perplexity"] for r in quality_lm.perplexity_filter(df, spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, quality int")).collect()}
+    log = brute_logs(trusted)
+    for i, t in enumerate(docs):
+        if not t:
+            assert got[i] is None
+            continue
+        want = math.exp(-sum(map(log, zip("\0\0" + t, "\0" + t, t))) / len(t))
+        assert math.isclose(got[i], want, rel_tol=1e-6), (i, got[i], want)
+    assert got[3] > 5 * got[0] and got[4] > 2 * got[2]
