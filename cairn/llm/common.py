@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,22 +15,35 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), a local one that is then set."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session within one JVM (as in tests) gets a
+    folder of its own, and any other an error, since executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
+
 #: Rows of a run of texts at most, whatever their length.
 ROWS = 1024
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation of what lies before them."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation of what lies before them.
+
+    Results read them lazily, so those that drop() does not delete earlier go with the application."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self.n = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", 0
+        path, files = self._files(self.path)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def folder(self) -> str:
         self.n += 1
@@ -48,9 +62,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of save() that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(df._scratch_path)
+        files.delete(path, True)
 
 
 #: Bits of a map that says which rows a later pass over a table reads: 2 MB whatever the input. It only spares other rows the
@@ -68,10 +81,22 @@ def bitmap(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def marked(batch: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
-    """The rows whose first column is marked, and some others."""
-    ids = batch.column(0).cast("int64").fill_null(0).to_numpy() % MARKS
-    return batch.filter(pa.array((marks[ids >> 5] >> (ids & 31).astype(np.uint32)) & 1 == 1))
+def marked(batch: pa.RecordBatch, marks: np.ndarray, want: bool = True, column: int = 0) -> pa.RecordBatch:
+    """The rows whose number in a column is marked, and some others; with want false, the rest."""
+    ids = batch.column(column).cast("int64").fill_null(0).to_numpy(zero_copy_only=False) % MARKS
+    return batch.filter(pa.array(((marks[ids >> 5] >> (ids & 31).astype(np.uint32)) & 1 == 1) == want))
+
+
+def without(docs: DataFrame, out_ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of docs whose number is not in out_ids, a table of Scratch.save. Rows that bitmap() leaves unmarked are read past
+    the join; the others meet the exact ids in one that is dealt by id at every size. Null numbers stay."""
+    at, marks = docs.columns.index(column), bitmap(out_ids, column)
+
+    def rows(want: bool):
+        return lambda batches: (marked(b, marks, want, at) for b in batches)
+
+    unsure = docs.mapInArrow(rows(True), docs.schema).join(out_ids.select(column).distinct().hint("merge"), column, "left_anti")
+    return docs.mapInArrow(rows(False), docs.schema).unionByName(unsure.select(*docs.columns))
 
 
 def text_chunks(texts: pa.Array, most: int):

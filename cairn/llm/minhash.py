@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, bitmap, marked, text_chunks
+from .common import Scratch, bitmap, marked, text_chunks, without
 from .components import connected_components
 
 _U = np.uint64
@@ -265,3 +265,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, perms: i
         known = joined(known, confirmed(pairs))
     out = with_component(signed.select("doc_id", "n_shingles"), known)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs (doc_id, text, others) of each group of near_duplicates(), with all its columns: that of the smallest doc_id.
+
+    Rows without a shingle (null, empty and blank texts) all stay. Where doc_ids repeat or are null, the rows are written with
+    numbers of their own first, which later passes read, and of a group the row of the smallest number stays; so identical
+    rows are copies like any others."""
+    scratch = Scratch(docs.sparkSession, "unique")
+    counts = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().agg(F.max("count"), F.max(F.col("doc_id").isNull())).first()
+    if counts[0] is None or (counts[0] == 1 and not counts[1]):
+        found = near_duplicates(docs, **options).filter(~F.col("kept"))
+        return without(docs, scratch.save(found.select("doc_id")))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("doc_id"), row))
+    found = near_duplicates(numbered.select("doc_id", "row.text"), **options).filter(~F.col("kept"))
+    return without(numbered, scratch.save(found.select("doc_id"))).select("row.*")

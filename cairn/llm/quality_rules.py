@@ -20,16 +20,16 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
-def rule_statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; no text."""
-    words = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
+def rule_statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `carry` of docs (doc_id, text) with words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    words = docs.select(*carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     symbols = F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))
     n = F.size("words")
     trios = F.when(n < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
     )
-    base = words.select("doc_id", "words", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), lines.alias("lines"), trios.alias("trios"))
+    base = words.select(*carry, "words", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), lines.alias("lines"), trios.alias("trios"))
     base = base.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     again = F.size(F.array_distinct("trios")) < F.size("trios")
     order = F.when(again, F.sort_array(F.transform("trios", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
@@ -77,7 +77,7 @@ def threshold(scored: DataFrame, labels: DataFrame) -> float | None:
     """The score that parts labelled good from bad documents best among those that lose at most LOSS of the good ones.
 
     From a histogram of bins of BIN, at most a few thousand rows. None without labels of both kinds."""
-    bins = scored.join(labels.select("doc_id", "quality"), "doc_id").groupBy(F.floor(F.col("score") / BIN).cast("long").alias("bin"), "quality").count().collect()
+    bins = scored.select("doc_id", "score").join(labels.filter("quality is not null").select("doc_id", "quality"), "doc_id").groupBy(F.floor(F.col("score") / BIN).cast("long").alias("bin"), "quality").count().collect()
     good, bad = {}, {}
     for b, q, n in bins:
         (good if q else bad)[b] = n
@@ -92,6 +92,16 @@ def threshold(scored: DataFrame, labels: DataFrame) -> float | None:
     return cut
 
 
+def _judge(docs: DataFrame, labels: DataFrame, buckets: int, carry: tuple[str, ...]) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "quality")
+    weights = ratio_weights(docs.select("doc_id", "text"), labels.filter("quality = 1"), buckets)
+    stats = rule_statistics(docs, carry)
+    scored = scratch.save(stats.withColumn("score", ratio_score(F.col("words"), weights)).drop("words"))
+    cut = threshold(scored, labels)
+    passed = F.lit(True) if cut is None else F.col("score") >= cut
+    return scored.withColumn("kept", ~F.col("base_failed") & passed)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of docs (doc_id, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     score and kept. labels (doc_id, quality): 1 marks the trusted target, 0 known bad documents.
@@ -103,11 +113,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
     table gives an empty one. Counts gather `buckets` rows whatever the input. Texts are shuffled once, to mark targets;
     the labels grow with the input and so are not broadcast.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    weights = ratio_weights(texts, labels.filter("quality = 1"), buckets)
-    stats = rule_statistics(texts)
-    scored = scratch.save(stats.withColumn("score", ratio_score(F.col("words"), weights)).drop("words"))
-    cut = threshold(scored, labels)
-    passed = F.lit(True) if cut is None else F.col("score") >= cut
-    return scored.withColumn("kept", ~F.col("base_failed") & passed)
+    return _judge(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, buckets, ("doc_id",))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of docs (doc_id, text, others) that quality_rules() keeps, with all their columns.
+
+    The verdict is found beside each row and decides that row alone: null and repeated doc_ids need no join, and columns of
+    any name come through. The scored rows are written once, since the cut is known only when all are scored."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return _judge(rows, labels, buckets, ("doc_id", "row")).filter("kept").select("row.*")

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import MARKS, Scratch, bitmap, marked
 
@@ -191,12 +192,12 @@ def learn_lexicon(texts: DataFrame, scratch: Scratch) -> tuple[list[str], list[s
     return [t for t in good if not t.endswith("*")], [t[:-1] for t in good if t.endswith("*")]
 
 
-def _reader(lexicon):
+def _reader(lexicon, carry: tuple[str, ...]):
     def read(batches):
         kinds = Matches(*lexicon.value)
         for batch in batches:
-            rows = np.array([features(t or "", kinds) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], ["doc_id", *FEATURES])
+            rows = np.array([features(t or "", kinds) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [*carry, *FEATURES])
 
     return read
 
@@ -218,19 +219,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row (doc_id, held_out, score, predicted, features) per row of docs (doc_id, text).
-
-    Learns from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0: the lexicon from all of their documents
-    (words and beginnings of words that stand in many contexts of toxic documents and hardly in clean ones), the weights of
-    a logistic regression on match features from at most MOST_ROWS of them, those of the smallest hashes. A match is a term,
-    a word one edit from it, or a word with a stem; in its window of words it is quoted, if quotation marks open before and
-    close after it, or abuse. Null and empty texts have no match. Without labels of both kinds all scores are the share of
-    toxic labels, 0 without any. Repeated doc_ids keep their rows; a null doc_id is not held out and has no label;
-    other columns are ignored.
-    """
+def _judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The columns `carry` of docs (doc_id long, text string), the features, score and predicted."""
     scratch = Scratch(docs.sparkSession, "toxicity")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic")).filter(~held_out(F.col("doc_id")))
     marks = bitmap(known.select(F.col("doc_id").cast("long").alias("doc_id")))
 
@@ -238,13 +229,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield marked(batch, marks)
 
-    some = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(labelled, "doc_id long, text string")
+    some = docs.select("doc_id", "text").mapInArrow(labelled, "doc_id long, text string")
     taught = scratch.save(some.join(known.hint("merge"), "doc_id").select("text", "toxic"))
     lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(taught, scratch))
     scratch.drop(taught)
-    schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = scratch.save(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_reader(lexicon), schema))
-    sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(MOST_ROWS).select(*FEATURES, "toxic").toPandas()
+    schema = StructType([docs.schema[c] for c in carry] + [StructField(f, DoubleType()) for f in FEATURES])
+    rows = scratch.save(docs.mapInArrow(_reader(lexicon, carry), schema))
+    sample = rows.select("doc_id", *FEATURES).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(MOST_ROWS).select(*FEATURES, "toxic").toPandas()
     y = sample["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         w = fit_logistic(sample[list(FEATURES)].to_numpy(float), y)
@@ -254,5 +245,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         score = F.round(1 / (1 + F.exp(-z)), 9)
     else:
         score = F.lit(float(y.mean()) if len(y) else 0.0)
-    out = rows.withColumn("score", score)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
+    return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row (doc_id, held_out, score, predicted, features) per row of docs (doc_id, text).
+
+    Learns from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0: the lexicon from all of their documents
+    (words and beginnings of words that stand in many contexts of toxic documents and hardly in clean ones), the weights of
+    a logistic regression on match features from at most MOST_ROWS of them, those of the smallest hashes. A match is a term,
+    a word one edit from it, or a word with a stem; in its window of words it is quoted, if quotation marks open before and
+    close after it, or abuse. Null and empty texts have no match. Without labels of both kinds all scores are the share of
+    toxic labels, 0 without any. Repeated doc_ids keep their rows; a null doc_id is not held out and has no label;
+    other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return _judge(rows, labels, ("doc_id",)).select("doc_id", out, "score", "predicted", *FEATURES)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, others) that score_toxicity() does not predict toxic, with all their columns.
+
+    The verdict is found beside each row and decides that row alone: null and repeated doc_ids need no join, and columns of
+    any name come through. The scored rows are written once, since the weights are known only when features are."""
+    others = F.struct(F.col("doc_id"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), others.alias("row"))
+    kept = _judge(rows, labels, ("doc_id", "text", "row")).filter("predicted = 0")
+    return kept.select(*("text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
