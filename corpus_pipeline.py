@@ -1,8 +1,12 @@
-"""Documents to packed sequences: quality rules, toxicity, near-duplicates, packing."""
+"""Documents to packed sequences: quality rules, toxicity, near-duplicates, packing.
+
+The first three stages judge each row by itself and return the rows they keep with all columns: a null doc_id is judged by its
+text, rows that share a doc_id are judged apart, null and empty texts fail the rules' 50 words, an empty table stays empty, and
+columns of other names come through."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import minhash, packing, quality_rules, toxicity
 from cairn.llm.common import Scratch
@@ -16,24 +20,19 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _keep(docs: DataFrame, out_ids: DataFrame) -> DataFrame:
-    """Documents without those of out_ids (doc_id); rows of a null doc_id stay."""
-    return docs.join(out_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _keep(docs, quality_rules.quality_rules(docs, _labels(spark, sf_dir)).filter(~F.col("kept")))
+    return quality_rules.keep_good(docs, _labels(spark, sf_dir))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic."""
-    return _keep(docs, toxicity.score_toxicity(docs, _labels(spark, sf_dir)).filter("predicted = 1"))
+    return toxicity.keep_clean(docs, _labels(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id."""
-    return _keep(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+    return minhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
