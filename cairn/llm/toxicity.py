@@ -16,10 +16,20 @@ from .common import MARKS, Scratch, bitmap, marked
 CONTEXTS, PURITY = 6, 0.97
 #: Most labelled rows that the regression is fitted on.
 MOST_ROWS = 50_000
-#: Beginnings of words that may be terms, the least length for one edit, words on either side of a match that are its context.
+#: Lengths of beginnings of words that may be terms, the least length of a term that takes an edit, and words on either side of
+#: a match that are its context.
 STEMS, FUZZY, WINDOW = (4, 5, 6), 5, 6
+#: Share of a beginning's toxic documents from which on one word has it to itself, and is the term instead.
+ALONE = 0.8
+#: Share of clean labelled documents that may hold a word one edit from a term which takes edits.
+CONFUSED = 0.002
+#: What a match with an edit and a quoted one count beside an exact, unquoted one. Set, not learned: labels may have neither.
+EDITED, QUOTED = 0.75, 0.2
 QUOTES = "\"“”„«»‘’'"
-FEATURES = ("exact", "edited", "stem", "quoted", "dense", "share")
+#: Of a document: its matches' weight, the densest run of unquoted ones, and their weight among its words.
+FEATURES = ("weight", "dense", "share")
+#: Beside the features, numbers of matches by kind: they don't enter the score.
+KINDS = ("exact", "edited", "quoted")
 
 
 def normal(word: str) -> str:
@@ -33,19 +43,23 @@ def normal(word: str) -> str:
 
 
 class Automaton:
-    """The union of the terms' Levenshtein automata, walked along the lexicon's trie and made deterministic as words ask."""
+    """The union of the terms' Levenshtein automata, walked along the lexicon's trie and made deterministic as words ask.
 
-    def __init__(self, terms: list[str], fuzzy: int = FUZZY) -> None:
+    terms: each with whether it takes an edit. A term that ends in `*` is a beginning: any further letters match."""
+
+    def __init__(self, terms: dict[str, bool]) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.ends: dict[int, int] = {}
-        for t in terms:
+        self.ends: dict[int, bool] = {}
+        self.open: set[int] = set()
+        for term, takes_edit in terms.items():
             node = 0
-            for ch in t:
+            for ch in term.removesuffix("*"):
                 node = self.children[node].setdefault(ch, len(self.children))
                 if node == len(self.children):
                     self.children.append({})
-            self.ends[node] = len(t)
-        self.fuzzy = fuzzy
+            if term.endswith("*"):
+                self.open.add(node)
+            self.ends[node] = self.ends.get(node, False) or takes_edit
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -65,13 +79,14 @@ class Automaton:
         for n, e in self.sets[state]:
             if ch in self.children[n]:
                 after.add((self.children[n][ch], e))
+            if n in self.open:
+                after.add((n, e))
             if e == 0:
                 after.add((n, 1))
                 after.update((c, 1) for c in self.children[n].values())
         return self._state(after)
 
-    def edits(self, word: str) -> int | None:
-        """0 for a term, 1 for a word one edit from a term of FUZZY letters or more, else null."""
+    def _walk(self, word: str) -> frozenset:
         state = self.start
         for ch in word:
             nxt = self.steps[state].get(ch)
@@ -81,46 +96,54 @@ class Automaton:
                     self.steps[state][ch] = nxt
             state = nxt
             if not self.sets[state]:
-                return None
-        found = [e for n, e in self.sets[state] if n in self.ends and (e == 0 or self.ends[n] >= self.fuzzy)]
+                break
+        return self.sets[state]
+
+    def edits(self, word: str) -> int | None:
+        """0 for a term, 1 for a word one edit from a term that takes one, else null."""
+        found = [e for n, e in self._walk(word) if n in self.ends and (e == 0 or self.ends[n])]
         return min(found) if found else None
 
 
 class Matches(dict):
-    """Kinds of words: 0 none, 1 a term, 2 a term with one edit, 3 a stem's word. Forgets all when large."""
+    """Kinds of words: 0 none, 1 a term, 2 a term with one edit. Forgets all when large."""
 
-    def __init__(self, terms: list[str], stems: list[str]) -> None:
-        self.automaton, self.stems = Automaton(terms), frozenset(stems)
+    def __init__(self, terms: dict[str, bool]) -> None:
+        self.automaton = Automaton(terms)
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        plain = normal(word) if len(word) < 64 else ""
-        kind = 0
-        if plain:
-            e = self.automaton.edits(plain)
-            kind = 0 if e is None else e + 1
-            if kind != 1 and any(plain[:k] in self.stems for k in STEMS if len(plain) >= k):
-                kind = 3
-        self[word] = kind
+        plain = normal(word)
+        e = self.automaton.edits(plain) if plain else None
+        self[word] = kind = 0 if e is None else e + 1
         return kind
 
 
 def features(text: str, kinds: Matches) -> list[float]:
+    """The values of FEATURES and KINDS. A match is quoted if a word of its window before it, or itself, begins with a quotation
+    mark and one after it, or itself, ends with one."""
     words = text.split()
     hits = [i for i, k in enumerate(map(kinds.__getitem__, words)) if k]
-    counts = [0, 0, 0, 0]
-    dense = 0
-    for at, i in enumerate(hits):
+    weight, counts, sharp = 0.0, [0, 0, 0], []
+    for i in hits:
+        edited = kinds[words[i]] == 2
+        worth = EDITED if edited else 1.0
         before, after = words[max(0, i - WINDOW) : i + 1], words[i : i + WINDOW + 1]
-        opened = any(w[0] in QUOTES for w in before)
-        closed = any(w.rstrip(".,;:!?")[-1:] in QUOTES and w.rstrip(".,;:!?") for w in after)
-        counts[3 if opened and closed else kinds[words[i]] - 1] += 1
-        near = at
-        while near + 1 < len(hits) and hits[near + 1] - i <= 2 * WINDOW:
+        if any(w[0] in QUOTES for w in before) and any(w.rstrip(".,;:!?")[-1:] in QUOTES and w.rstrip(".,;:!?") for w in after):
+            counts[2] += 1
+            worth *= QUOTED
+        else:
+            counts[edited] += 1
+            sharp.append(i)
+        weight += worth
+    dense = near = 0
+    for at, i in enumerate(sharp):
+        near = max(near, at)
+        while near + 1 < len(sharp) and sharp[near + 1] - i <= 2 * WINDOW:
             near += 1
         dense = max(dense, near - at)
-    return [*np.log1p(counts).tolist(), float(np.log1p(dense)), len(hits) / max(1, len(words)) * 100]
+    return [float(np.log1p(weight)), float(np.log1p(dense)), weight / max(1, len(words)) * 100, *map(float, counts)]
 
 
 def _term_bit(term: str) -> int:
@@ -137,7 +160,7 @@ def _word_counts(marks: np.ndarray | None = None):
 
         def terms(word: str) -> tuple:
             """A word as it counts for the next one's context, and its terms."""
-            plain = normal(word) if len(word) < 64 else ""
+            plain = normal(word)
             out = (plain, *(plain[:k] + "*" for k in STEMS if len(plain) > k)) if len(plain) >= 3 else ()
             if marks is not None:
                 out = tuple(t for t in out if marks[(b := _term_bit(t)) >> 5] >> np.uint32(b & 31) & 1)
@@ -173,31 +196,83 @@ def _word_counts(marks: np.ndarray | None = None):
     return count
 
 
-def learn_lexicon(texts: DataFrame, scratch: Scratch) -> tuple[list[str], list[str]]:
-    """Terms and stems of texts (text, toxic), all that reach CONTEXTS and PURITY. Counts cover all rows: those of toxic texts
-    find candidates, those of clean ones are of candidates alone. The lexicon, which grows with the vocabulary, and a bitmap of
+def _choose(found: dict[str, int]) -> list[str]:
+    """Terms of found (term, toxic documents) without beginnings that stand for one word (ALONE), and without terms that a shorter
+    beginning covers."""
+    top: dict[str, int] = {}
+    for t, n in found.items():
+        if not t.endswith("*"):
+            for k in STEMS:
+                top[t[:k]] = max(n, top.get(t[:k], 0))
+    heads = {t[:-1] for t, n in found.items() if t.endswith("*") and top.get(t[:-1], 0) < ALONE * n}
+    bare = [t for t in found if not t.endswith("*")] + [h + "*" for h in heads]
+    return sorted(t for t in bare if not any(t[:k] in heads for k in range(1, len(t.removesuffix("*")) + (not t.endswith("*")))))
+
+
+def _confusions(terms: list[str]):
+    """mapInArrow function of texts: for each text the terms of which it has a word at one edit, but no match."""
+
+    def confused(batches):
+        plain = [t for t in terms if len(t.removesuffix("*")) >= FUZZY]
+        whole, near = Matches(dict.fromkeys(terms, False)), Automaton(dict.fromkeys(plain, True))
+        names = {}
+        for t in plain:
+            node = 0
+            for ch in t.removesuffix("*"):
+                node = near.children[node][ch]
+            names.setdefault(node, []).append(t)
+        known: dict[str, tuple] = {}
+
+        def of(word: str) -> tuple:
+            if len(known) > 500_000:
+                known.clear()
+            text = normal(word)
+            found = () if not text or whole[word] else tuple({t for n, e in near._walk(text) if e and n in near.ends for t in names[n]})
+            known[word] = found
+            return found
+
+        for batch in batches:
+            held: dict[str, int] = {}
+            for text in batch.column(0):
+                hits = set()
+                for word in (text.as_py() or "").split():
+                    found = known.get(word)
+                    hits.update(of(word) if found is None else found)
+                for t in hits:
+                    held[t] = held.get(t, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+
+    return confused
+
+
+def learn_lexicon(texts: DataFrame, scratch: Scratch) -> dict[str, bool]:
+    """Terms of texts (text, toxic), all that reach CONTEXTS and PURITY, each with whether it takes an edit: those of FUZZY letters
+    or more of which hardly a clean document holds a word at one edit (CONFUSED). Counts cover all rows: those of toxic texts find
+    candidates, those of clean ones are of candidates alone. The lexicon, which grows with the vocabulary, and a bitmap of
     fixed size reach the driver; tasks get the whole lexicon and build its trie."""
     numbers = dict(texts.groupBy("toxic").count().collect())
     n1, n0 = numbers.get(1, 0), numbers.get(0, 0)
     if not n1 or not n0:
-        return [], []
+        return {}
     schema = "term string, mark long, bits long, n long"
     toxic = texts.filter("toxic = 1").select("text").mapInArrow(_word_counts(), schema)
     toxic = toxic.groupBy("term", "mark").agg(F.bit_count(F.bit_or("bits")).alias("contexts"), F.sum("n").alias("toxic")).filter(F.col("contexts") >= CONTEXTS)
     toxic = scratch.save(toxic)
-    clean = texts.filter("toxic = 0").select("text").mapInArrow(_word_counts(bitmap(toxic, "mark")), schema).groupBy("term").agg(F.sum("n").alias("clean"))
-    sums = toxic.join(clean, "term", "left").fillna(0, ["clean"])
+    clean = texts.filter("toxic = 0").select("text")
+    counts = clean.mapInArrow(_word_counts(bitmap(toxic, "mark")), schema).groupBy("term").agg(F.sum("n").alias("clean"))
+    sums = toxic.join(counts.hint("merge"), "term", "left").fillna(0, ["clean"])
     share = (F.col("toxic") / n1) / (F.col("toxic") / n1 + (F.col("clean") + 0.5) / n0)
-    good = sorted(r[0] for r in sums.filter(share >= PURITY).select("term").collect())
-    return [t for t in good if not t.endswith("*")], [t[:-1] for t in good if t.endswith("*")]
+    terms = _choose(dict(sums.filter(share >= PURITY).select("term", "toxic").collect()))
+    near = dict(clean.mapInArrow(_confusions(terms), "term string, n long").groupBy("term").agg(F.sum("n")).collect())  # of terms
+    return {t: len(t.removesuffix("*")) >= FUZZY and near.get(t, 0) <= CONFUSED * n0 for t in terms}
 
 
 def _reader(lexicon, carry: tuple[str, ...]):
     def read(batches):
-        kinds = Matches(*lexicon.value)
+        kinds, names = Matches(lexicon.value), (*FEATURES, *KINDS)
         for batch in batches:
-            rows = np.array([features(t or "", kinds) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [*carry, *FEATURES])
+            rows = np.array([features(t or "", kinds) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *(pa.array(rows[:, i]) for i in range(len(names)))], [*carry, *names])
 
     return read
 
@@ -215,6 +290,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """fit_logistic() with no weight of a feature below zero: more matches never make a document cleaner."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        w = fit_logistic(x[:, use], y)
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[np.append(use, True)] = w
+            return out
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False
+
+
+def misspelled(x: np.ndarray) -> np.ndarray:
+    """Features of documents as if every match had an edit: toxic ones teach the fit what misspelled terms are worth."""
+    return np.column_stack([np.log1p(EDITED * np.expm1(x[:, 0])), x[:, 1], EDITED * x[:, 2]])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
@@ -233,12 +325,13 @@ def _judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...]) -> DataFr
     taught = scratch.save(some.join(known.hint("merge"), "doc_id").select("text", "toxic"))
     lexicon = docs.sparkSession.sparkContext.broadcast(learn_lexicon(taught, scratch))
     scratch.drop(taught)
-    schema = StructType([docs.schema[c] for c in carry] + [StructField(f, DoubleType()) for f in FEATURES])
+    schema = StructType([docs.schema[c] for c in carry] + [StructField(f, DoubleType()) for f in (*FEATURES, *KINDS)])
     rows = scratch.save(docs.mapInArrow(_reader(lexicon, carry), schema))
     sample = rows.select("doc_id", *FEATURES).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(MOST_ROWS).select(*FEATURES, "toxic").toPandas()
     y = sample["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
-        w = fit_logistic(sample[list(FEATURES)].to_numpy(float), y)
+        x = sample[list(FEATURES)].to_numpy(float)
+        w = fit_rising(np.vstack([x, misspelled(x[y == 1])]), np.append(y, np.ones(int(y.sum()))))
         z = F.lit(float(w[-1]))
         for f, k in zip(FEATURES, w):
             z = z + F.col(f) * float(k)
@@ -253,15 +346,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from labels (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0: the lexicon from all of their documents
     (words and beginnings of words that stand in many contexts of toxic documents and hardly in clean ones), the weights of
-    a logistic regression on match features from at most MOST_ROWS of them, those of the smallest hashes. A match is a term,
-    a word one edit from it, or a word with a stem; in its window of words it is quoted, if quotation marks open before and
-    close after it, or abuse. Null and empty texts have no match. Without labels of both kinds all scores are the share of
+    a logistic regression on match features from at most MOST_ROWS of them, those of the smallest hashes. A match is a term or a
+    word one edit from one that takes edits, which counts EDITED; in its window of words it is quoted, if quotation marks open
+    before and close after it, and then counts QUOTED of that, or abuse. The fit sees each toxic document a second time with all
+    its terms misspelled. Null and empty texts have no match. Without labels of both kinds all scores are the share of
     toxic labels, 0 without any. Repeated doc_ids keep their rows; a null doc_id is not held out and has no label;
     other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    return _judge(rows, labels, ("doc_id",)).select("doc_id", out, "score", "predicted", *FEATURES)
+    return _judge(rows, labels, ("doc_id",)).select("doc_id", out, "score", "predicted", *FEATURES, *KINDS)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

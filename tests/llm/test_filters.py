@@ -60,9 +60,48 @@ def test_model_sums_to_one(spark):
     assert len(alphabet) == 10 and np.allclose(p.sum(axis=2), 1, atol=1e-4)
 
 
-def test_automaton():
-    a = toxicity.Automaton(["idiot", "scum", "moron"])
+def near_term(word, term):
+    """Edit distance of at most one to a term; of its beginning, where it ends in `*`."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    if term.endswith("*"):
+        return min(distance(word[:k], term[:-1]) for k in range(len(word) + 1))
+    return distance(word, term)
+
+
+def test_automaton_against_edit_distance():
+    a = toxicity.Automaton({"idiot": True, "scum": False, "moron": True})
     assert [a.edits(w) for w in ("idiot", "idot", "idioot", "idxot", "xidiot", "idio", "scum", "scom", "ido", "")] == [0, 1, 1, 1, 1, 1, 0, None, None, None]
+    rng = np.random.default_rng(5)
+    word = lambda low: "".join(rng.choice(list("abc"), rng.integers(low, 8)))
+    for _ in range(20):
+        terms = {word(3) + ("*" if rng.random() < 0.3 else ""): bool(rng.random() < 0.7) for _ in range(6)}
+        a = toxicity.Automaton(terms)
+        for w in [word(0) for _ in range(200)]:
+            far = [(near_term(w, t), takes or t.removesuffix("*") in {x.removesuffix("*") for x in terms if terms[x]}) for t, takes in terms.items()]
+            want = 0 if any(d == 0 for d, _ in far) else 1 if any(d == 1 and takes for d, takes in far) else None
+            assert a.edits(w) == want, (terms, w)
+
+
+def test_misspelled_and_quoted_terms(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("bdfgklmnprst"), 1)) + w for w in ("aller", "ondin", "erwick", "ostle", "umber", "inquet") for _ in range(12)]
+    text = lambda *more: " ".join(rng.permutation([*rng.choice(vocabulary, 60), *more]))
+    docs = [(i, text(*(["idiot", "moron", "clown"][: 1 + i % 3] if i % 2 else ()))) for i in range(400)]
+    asked = [text("idiot"), text("idiott"), text("mroon", "idjot"), text(), 'he said "you idiot" to us ' + text(), "you idiot " + text()]
+    rows = spark.createDataFrame(docs + [(1000 + i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(rows, labels).collect()}
+    assert [got[1000 + i]["predicted"] for i in range(4)] == [1, 1, 1, 0]
+    assert [got[1000 + i][k] for i, k in ((0, "exact"), (1, "edited"), (2, "edited"), (4, "quoted"), (5, "exact"))] == [1, 1, 1, 1, 1]
+    assert got[1004]["predicted"] == 0 and got[1005]["predicted"] == 1 and got[1004]["score"] < got[1005]["score"]
 
 
 def test_op8_held_out(spark, sf_dir):
