@@ -25,6 +25,8 @@ ALONE = 0.8
 CONFUSED = 0.002
 #: What a match with an edit and a quoted one count beside an exact, unquoted one. Set, not learned: labels may have neither.
 EDITED, QUOTED = 0.75, 0.2
+#: Words whose kind or terms a task remembers, and states that an automaton makes, before it starts anew.
+WORDS, STATES = 1 << 16, 1 << 14
 QUOTES = "\"“”„«»‘’'"
 #: Of a document: its matches' weight, the densest run of unquoted ones, and their weight among its words.
 FEATURES = ("weight", "dense", "share")
@@ -60,6 +62,9 @@ class Automaton:
             if term.endswith("*"):
                 self.open.add(node)
             self.ends[node] = self.ends.get(node, False) or takes_edit
+        self._restart()
+
+    def _restart(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -87,13 +92,13 @@ class Automaton:
         return self._state(after)
 
     def _walk(self, word: str) -> frozenset:
+        if len(self.sets) > STATES:
+            self._restart()
         state = self.start
         for ch in word:
             nxt = self.steps[state].get(ch)
             if nxt is None:
-                nxt = self._step(state, ch)
-                if len(self.sets) < 200_000:
-                    self.steps[state][ch] = nxt
+                nxt = self.steps[state][ch] = self._step(state, ch)
             state = nxt
             if not self.sets[state]:
                 break
@@ -112,7 +117,7 @@ class Matches(dict):
         self.automaton = Automaton(terms)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORDS:
             self.clear()
         plain = normal(word)
         e = self.automaton.edits(plain) if plain else None
@@ -164,7 +169,7 @@ def _word_counts(marks: np.ndarray | None = None):
             out = (plain, *(plain[:k] + "*" for k in STEMS if len(plain) > k)) if len(plain) >= 3 else ()
             if marks is not None:
                 out = tuple(t for t in out if marks[(b := _term_bit(t)) >> 5] >> np.uint32(b & 31) & 1)
-            if len(known) > 400_000:
+            if len(known) > WORDS:
                 known.clear()
             known[word] = found = (1 << (zlib.crc32(plain.encode("utf-8", "replace")) & 63), out)
             return found
@@ -189,7 +194,7 @@ def _word_counts(marks: np.ndarray | None = None):
                     row = held.setdefault(term, [0, 0])
                     row[0] |= bits
                     row[1] += 1
-                if len(held) > 300_000:
+                if len(held) > 3 * WORDS:
                     yield flush()
         yield flush()
 
@@ -224,7 +229,7 @@ def _confusions(terms: list[str]):
         known: dict[str, tuple] = {}
 
         def of(word: str) -> tuple:
-            if len(known) > 500_000:
+            if len(known) > WORDS:
                 known.clear()
             text = normal(word)
             found = () if not text or whole[word] else tuple({t for n, e in near._walk(text) if e and n in near.ends for t in names[n]})
