@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cairn.functions import stats, text as T
+
 
 def entity_points(rows: DataFrame, group: str, entity: str, weight: str, parts: list[str], least: float = 0) -> DataFrame:
     """Per group and entity: weight, and the weighted mean of each part; entities of no more than zero or under `least` weight go."""
@@ -34,23 +36,74 @@ def tone_distance(points: DataFrame, group: str, parts: list[str], centre: str =
 
 
 def call_features(scores: DataFrame) -> DataFrame:
-    """Per call: tone by role and section, weighted by tokens; difference and dispersion. One pass over
-    scores (call_id, role, section, p_neg, p_neu, p_pos, n_tokens)."""
-    net = F.col("p_pos") - F.col("p_neg")
-
-    def mean(test):
-        return F.try_divide(F.sum(F.when(test, net * F.col("n_tokens"))), F.sum(F.when(test, F.col("n_tokens"))))
-
+    """A row per call of scores (call_id, role, section, p_neg, p_neu, p_pos, n_tokens): the mean distribution by tokens and its net
+    tone, population deviation of utterances' net tones (null for one), divergence of analysts from management in the questions
+    (Jensen-Shannon, and the signed difference of net tones), management's remarks less its answers, whether there are
+    questions, and numbers of utterances. One pass; what has no utterances or tokens is null."""
+    parts = ("p_neg", "p_neu", "p_pos")
+    net, tokens = F.col("p_pos") - F.col("p_neg"), F.col("n_tokens")
     management, analyst = F.col("role") == "management", F.col("role") == "analyst"
     remarks, qa = F.col("section") == "remarks", F.col("section") == "qa"
-    return scores.groupBy("call_id").agg(
-        mean(management | analyst).alias("net_tone"),
-        mean(management & remarks).alias("tone_remarks"),
-        mean(management & qa).alias("tone_qa"),
-        mean(analyst).alias("tone_analyst"),
-        (mean(management) - mean(analyst)).alias("tone_gap"),
-        F.when(F.count(net) > 1, F.stddev_pop(net)).alias("tone_dispersion"),
+    sides = {"all": F.lit(True), "mq": management & qa, "aq": analyst & qa, "mr": management & remarks}
+    sums = [F.sum(F.when(test, F.col(p) * tokens)).alias(f"{k}_{p}") for k, test in sides.items() for p in parts]
+    weights = [F.nullif(F.sum(F.when(test, tokens)), F.lit(0)).alias(f"{k}_w") for k, test in sides.items()]
+    got = scores.groupBy("call_id").agg(
+        *sums,
+        *weights,
+        F.when(F.count("*") > 1, F.stddev_pop(net)).alias("tone_dispersion"),
+        F.coalesce(F.max(qa), F.lit(False)).alias("qa_detected"),
+        F.count("*").alias("n_utt_scored"),
+        F.count_if(management & qa).alias("n_utt_mgmt_qa"),
+        F.count_if(analyst & qa).alias("n_utt_analyst_qa"),
     )
+    mean = {k: [F.col(f"{k}_{p}") / F.col(f"{k}_w") for p in parts] for k in sides}
+    tone = {k: m[2] - m[0] for k, m in mean.items()}
+    return got.select(
+        "call_id",
+        *(m.alias(p) for p, m in zip(parts, mean["all"])),
+        tone["all"].alias("net_tone"),
+        "tone_dispersion",
+        stats.js_distance(mean["aq"], mean["mq"]).alias("mgmt_analyst_divergence"),
+        (tone["mq"] - tone["aq"]).alias("mgmt_analyst_divergence_signed"),
+        (tone["mr"] - tone["mq"]).alias("qa_remarks_gap"),
+        "qa_detected",
+        "n_utt_scored",
+        "n_utt_mgmt_qa",
+        "n_utt_analyst_qa",
+    )
+
+
+def history_features(features: DataFrame, key: str = "ticker", order: str = "call_datetime") -> DataFrame:
+    """Adds delta_tone and tone_js_prev against the key's call before; null for the first, and where a part is null."""
+    w = Window.partitionBy(key).orderBy(order)
+    parts = ("p_neg", "p_neu", "p_pos")
+    with_last = features.withColumns({f"_{p}": F.lag(p).over(w) for p in parts} | {"_t": F.lag("net_tone").over(w)})
+    js = stats.js_distance([F.col(p) for p in parts], [F.col(f"_{p}") for p in parts])
+    return with_last.withColumns({"delta_tone": F.col("net_tone") - F.col("_t"), "tone_js_prev": js}).drop("_t", *(f"_{p}" for p in parts))
+
+
+def manager_distance(scores: DataFrame, role: str = "management", least: int = 2, tokens: int = 25) -> DataFrame:
+    """(call_id, tone_distance, n_managers) of scores with speaker: persons by match key, each with `tokens` or more; only calls
+    with questions; null under `least` persons, no row without any."""
+    heard = scores.withColumn("_qa", F.max(F.col("section") == "qa").over(Window.partitionBy("call_id"))).filter(F.col("_qa") & (F.col("role") == role))
+    named = heard.withColumn("_k", T.match_key(F.col("speaker"))).filter("_k != ''")
+    points = entity_points(named, "call_id", "_k", "n_tokens", ["p_pos", "p_neg"], tokens)
+    out = tone_distance(points, "call_id", ["p_pos", "p_neg"], least=1)
+    return out.select("call_id", F.when(F.col("n_entities") >= least, F.col("distance")).alias("tone_distance"), F.col("n_entities").alias("n_managers"))
+
+
+def label_shares(df: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """Shares of hard labels, and mean probabilities, per group; with weight by it."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    rows = hard_labels(df)
+    share = [F.try_divide(F.sum(F.when(F.col("label") == k, w).otherwise(0.0)), F.sum(w)).alias(f"f_{k}") for k in ("neg", "neu", "pos")]
+    mean = [F.try_divide(F.sum(F.col(f"p_{k}") * w), F.sum(w)).alias(f"p_{k}") for k in ("neg", "neu", "pos")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *share, *mean)
+
+
+def entity_dispersion(points: DataFrame, group: str, value: str, name: str = "dispersion") -> DataFrame:
+    """Sample deviation of entities' values per group, null under two. points has a row per entity."""
+    return points.groupBy(group).agg(F.count(value).alias("n_entities"), F.when(F.count(value) >= 2, F.stddev_samp(value)).alias(name))
 
 
 def question_adjusted(turns: DataFrame, call: str, block: str, role: str, entity: str, words: list[str], floor: bool) -> DataFrame:
@@ -71,29 +124,31 @@ def hard_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.when((n >= u) & (n >= p), "neg").when(u >= p, "neu").otherwise("pos"))
 
 
-def permutation_null(words: DataFrame, group: str, sizes: str, values: str, draws: int = 200, seed: int = 42) -> DataFrame:
-    """Distance under random dealing of a group's values to entities of fixed sizes: observed, e_null, sd_null, z.
+def permutation_null(words: DataFrame, group: str, sizes: str, values: list[str], draws: int = 200, seed: int = 42) -> DataFrame:
+    """Distance under random dealing of a group's words to entities of fixed sizes: observed, e_null, sd_null, td_adj and z.
 
-    words: one row per group, with sizes array<int> (those of 0 are left out) and values array<double>, dealt in that order."""
+    words: one row per group, with sizes array<int> (those of 0 are left out) and arrays of numbers of one length, such as 1 for
+    positive and 1 for negative words, dealt together in that order. Distance is the mean Euclidean one from the mean of
+    entities; sd_null is the population's; td_adj = observed - e_null; z is null without spread. Draws are seeded by the group."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for g, s, v in zip(pdf[group], pdf[sizes], pdf[values]):
-                s, v = np.array([x for x in s if x > 0], int), np.asarray(v, float)
+            for row in pdf.itertuples(index=False):
+                g, s, v = row[0], np.array([x for x in row[1] if x > 0], int), np.column_stack([np.asarray(x, float) for x in row[3:]])
                 if len(s) < 2 or s.sum() != len(v):
                     continue
                 cuts = np.concatenate(([0], np.cumsum(s)[:-1]))
 
                 def distance(x):
-                    m = np.add.reduceat(x, cuts) / s
-                    return np.abs(m - m.mean()).mean()
+                    m = np.add.reduceat(x, cuts, axis=0) / s[:, None]
+                    return np.sqrt(((m - m.mean(axis=0)) ** 2).sum(axis=1)).mean()
 
-                rng = np.random.default_rng([seed, abs(hash(str(g))) if not isinstance(g, (int, np.integer)) else int(g) & 0x7FFFFFFF])
-                null = np.array([distance(rng.permutation(v)) for _ in range(draws)])
-                seen, sd = distance(v), null.std(ddof=1)
-                out.append((g, seen, null.mean(), sd, (seen - null.mean()) / sd if sd > 0 else None))
-            yield pd.DataFrame(out, columns=[group, "observed", "e_null", "sd_null", "z"])
+                rng = np.random.default_rng([seed, int(row[2]) & 0xFFFFFFFFFFFFFFFF])
+                null = np.array([distance(rng.permutation(v, axis=0)) for _ in range(draws)])
+                seen, mean, sd = distance(v), null.mean(), null.std()
+                out.append((g, seen, mean, sd, seen - mean, (seen - mean) / sd if sd > 0 else None))
+            yield pd.DataFrame(out, columns=[group, "observed", "e_null", "sd_null", "td_adj", "z"])
 
     kind = dict(words.dtypes)[group]
-    return words.select(group, sizes, values).mapInPandas(run, f"{group} {kind}, observed double, e_null double, sd_null double, z double")
+    return words.select(group, sizes, F.xxhash64(group).alias("_h"), *values).mapInPandas(run, f"{group} {kind}, observed double, e_null double, sd_null double, td_adj double, z double")

@@ -1,71 +1,14 @@
-"""Named queries over the driver's tables, each with equivalent SQL where SQL can express it.
-
-Conversations stand for calls, orders for signals of firms, lineitem by supplier and day for a panel of prices."""
+"""Named queries over the driver's tables, each with equivalent SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cairn.functions import stats, text as T, times
 from cairn.operators import joins, tone, transcripts, windows
 from cairn.plans import market
+from cairn.plans.registry import BANDS, KEYED, ORACLES, PANEL, QUERIES, RETURNS, SIGNALS, WORDS, keyed_signals, panel, query, returns, rounded, signals, table, word_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-POSITIVE, NEGATIVE = ["the", "and", "de", "die", "la"], ["of", "that", "que", "der", "le"]
-BANDS = [(1, 10, "small"), (11, 25, "medium"), (26, 40, "large")]
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    kinds = dict(df.dtypes)
-    return df.select(*(F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
-
-
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, date, close, volume) per supplier and ship day."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("date")).agg(F.avg("l_extendedprice").alias("close"), F.sum("l_quantity").alias("volume"))
-
-
-PANEL = "panel AS (SELECT l_suppkey AS key, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"
-
-
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, firm, day, x) per order."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("firm"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("x"))
-
-
-SIGNALS = "signals AS (SELECT o_orderkey AS id, o_custkey AS firm, CAST(o_orderdate AS DATE) AS day, o_totalprice AS x FROM orders)"
-
-
-def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(call, turn, role, nw, pos, neg) per turn."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("call"), "turn", "role", F.size(T.letters_words(F.col("text"))).alias("nw"), T.lexicon_count(F.col("text"), POSITIVE).alias("pos"), T.lexicon_count(F.col("text"), NEGATIVE).alias("neg"))
-
-
-def _list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w.upper()}'" for w in words) + "]"
-
-
-WORDS = f"""w0 AS (SELECT conv_id AS call, turn, role, regexp_extract_all(replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS'), '[A-Z]+') AS w FROM conversations),
-words AS (SELECT call, turn, role, len(w) AS nw, len(list_filter(w, lambda x: list_contains({_list(POSITIVE)}, x))) AS pos, len(list_filter(w, lambda x: list_contains({_list(NEGATIVE)}, x))) AS neg FROM w0)"""
 POINTS = "points AS (SELECT call, role, sum(nw) AS w, sum(pos) / sum(nw) AS p, sum(neg) / sum(nw) AS n FROM words GROUP BY 1, 2 HAVING sum(nw) > 0)"
 
 
@@ -129,15 +72,8 @@ def question_answer_blocks(spark, sf_dir):
     return b.groupBy("call", "block").agg(part("user").alias("asked"), part("assistant").alias("answered"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences FROM documents WHERE NOT regexp_matches(text, '[.!?]\s+[A-Z0-9"''][.!?]\s')""")
+@query(r"""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences FROM documents""")
 def sentence_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[.!?]\\s+[A-Z0-9\"'][.!?]\\s"))
-    return d.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
-
-
-@query()
-def sentence_counts_all(spark, sf_dir):
-    """A row for every document; DuckDB has no lookaround, so sentence_counts leaves out texts where its split would differ."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
@@ -170,25 +106,25 @@ def loo_group_mean(spark, sf_dir):
     return rounded(windows.leave_one_out(signals(spark, sf_dir), ["day"], "x", "others").select("id", "others"), 4)
 
 
-@query(f"""WITH {SIGNALS}, {PANEL}, e AS (SELECT id, firm % 100 + 1 AS key, day FROM signals)
+@query(f"""WITH {KEYED}, {PANEL}, e AS (SELECT id, key, day FROM keyed)
 SELECT e.id, e.key, round(p.close, 6) AS close FROM e ASOF LEFT JOIN panel p ON e.key = p.key AND e.day > p.date""")
 def asof_backward_strict(spark, sf_dir):
-    e = signals(spark, sf_dir).select("id", (F.col("firm") % 100 + 1).alias("key"), F.col("day").alias("date"))
+    e = keyed_signals(spark, sf_dir).select("id", "key", F.col("day").alias("date"))
     return rounded(joins.asof_backward(e, panel(spark, sf_dir), ["key"], "date", ["close"]).select("id", "key", "close"))
 
 
-@query(f"""WITH {SIGNALS}, {PANEL}, e AS (SELECT id, firm % 100 + 1 AS key, day FROM signals)
+@query(f"""WITH {KEYED}, {PANEL}, e AS (SELECT id, key, day FROM keyed)
 SELECT e.id, e.key, p.date AS session FROM e ASOF LEFT JOIN panel p ON e.key = p.key AND e.day <= p.date""")
 def asof_forward_inclusive(spark, sf_dir):
-    e = signals(spark, sf_dir).select("id", (F.col("firm") % 100 + 1).alias("key"), F.col("day").alias("date"))
+    e = keyed_signals(spark, sf_dir).select("id", "key", F.col("day").alias("date"))
     return joins.asof_forward(e, panel(spark, sf_dir), ["key"], "date", "session").select("id", "key", "session")
 
 
-@query(f"""WITH {SIGNALS}, {PANEL}, e AS (SELECT id, firm % 100 + 1 AS key, day FROM signals),
+@query(f"""WITH {KEYED}, {PANEL}, e AS (SELECT id, key, day FROM keyed),
 m AS (SELECT e.id, p.date, row_number() OVER (PARTITION BY e.id ORDER BY abs(e.day - p.date), p.date) AS r FROM e JOIN panel p ON e.key = p.key AND p.date BETWEEN e.day - 3 AND e.day + 3)
 SELECT e.id, m.date AS fact_day FROM e LEFT JOIN m ON e.id = m.id AND m.r = 1""")
 def nearest_join_3d(spark, sf_dir):
-    e = signals(spark, sf_dir).select("id", (F.col("firm") % 100 + 1).alias("key"), "day")
+    e = keyed_signals(spark, sf_dir).select("id", "key", "day")
     p = panel(spark, sf_dir).select("key", F.col("date").alias("fact_day"))
     return joins.nearest(e, p, ["key"], "day", "fact_day", []).select("id", "fact_day")
 
@@ -205,27 +141,18 @@ def rolling_adv_filter(spark, sf_dir):
     return rounded(windows.full_mean(p, "key", "date", "dollars", 60, "adv").filter("adv >= 500000").select("key", "date", "adv"), 0)
 
 
-def _returns(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    p = p.withColumn("r", F.col("close") / F.lag("close").over(Window.partitionBy("key").orderBy("date")) - 1)
-    return p.join(p.groupBy("date").agg(F.avg("r").alias("m")), "date")
-
-
-RETURNS = f"{PANEL}, r0 AS (SELECT *, close / lag(close) OVER (PARTITION BY key ORDER BY date) - 1 AS r FROM panel), rets AS (SELECT key, date, r, avg(r) OVER (PARTITION BY date) AS m FROM r0)"
-
-
 @query(f"""WITH {RETURNS}, g AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS pos FROM rets WHERE r IS NOT NULL AND m IS NOT NULL),
 s AS (SELECT *, count(*) OVER e AS n, regr_slope(r, m) OVER e AS b, avg(r) OVER e AS ar, avg(m) OVER e AS am, sum(r) OVER v AS vr, sum(m) OVER v AS vm, count(*) OVER v AS vn FROM g
 WINDOW e AS (PARTITION BY key ORDER BY date ROWS BETWEEN 60 PRECEDING AND 11 PRECEDING), v AS (PARTITION BY key ORDER BY date ROWS BETWEEN 1 PRECEDING AND 3 FOLLOWING))
 SELECT key, date, round(vr - vn * (ar - b * am) - b * vm, 4) AS car FROM s WHERE n >= 30 AND vn = 5 AND pos >= 1""")
 def market_model_car(spark, sf_dir):
-    cars = market.market_model_cars(_returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30)
+    cars = market.market_model_cars(returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30)
     return rounded(cars.filter("car is not null").select("key", "date", "car"), 4)
 
 
 @query(f"""WITH {RETURNS} SELECT key, year(date) * 12 + month(date) - 1 AS ym, round(exp(sum(ln(1 + r))) - 1, 4) AS mret FROM rets GROUP BY 1, 2""")
 def monthly_compound_return(spark, sf_dir):
-    return rounded(market.monthly_returns(_returns(spark, sf_dir), "key", "date", "r"), 4)
+    return rounded(market.monthly_returns(returns(spark, sf_dir), "key", "date", "r"), 4)
 
 
 @query(f"""WITH {SIGNALS}, f AS (SELECT firm, year(day) * 12 + month(day) - 1 + g AS ym, x, day, id, g FROM signals, (VALUES (1), (2), (3)) t(g)),
@@ -235,19 +162,19 @@ def latest_in_3_months(spark, sf_dir):
     return rounded(joins.fan_out_latest(s, "firm", "m", "o").select("firm", "ym", "id", "x"), 4)
 
 
-@query(f"""WITH {SIGNALS}, {RETURNS}, f AS (SELECT firm % 100 + 1 AS key, year(day) * 12 + month(day) - 1 + g AS ym, x, day, id, g FROM signals, (VALUES (1), (2), (3)) t(g)),
+@query(f"""WITH {KEYED}, {RETURNS}, f AS (SELECT key, year(day) * 12 + month(day) - 1 + g AS ym, x, day, id, g FROM keyed, (VALUES (1), (2), (3)) t(g)),
 l AS (SELECT key, ym, x FROM (SELECT *, row_number() OVER (PARTITION BY key, ym ORDER BY day DESC, id DESC, g) AS k FROM f) WHERE k = 1),
 mr AS (SELECT key, year(date) * 12 + month(date) - 1 AS ym, product(1 + r) - 1 AS mret FROM rets WHERE r IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT l.key, l.ym, l.x, mr.mret, row_number() OVER (PARTITION BY l.ym ORDER BY l.x DESC, l.key) AS hi, row_number() OVER (PARTITION BY l.ym ORDER BY l.x, l.key) AS lo FROM l JOIN mr ON l.key = mr.key AND l.ym = mr.ym),
-a AS (SELECT ym, count(*) AS n_uni, avg(mret) FILTER (WHERE hi <= 10) AS top, avg(mret) FILTER (WHERE lo <= 10) AS bottom, avg(mret) AS universe FROM j GROUP BY ym HAVING count(*) >= 20),
+a AS (SELECT ym, count(*) AS n_uni, avg(mret) FILTER (WHERE hi <= 10) AS top, avg(mret) FILTER (WHERE lo <= 10) AS bottom, avg(mret) AS universe FROM j GROUP BY ym HAVING count(*) >= 5),
 h AS (SELECT key, ym FROM j WHERE hi <= 10 AND ym IN (SELECT ym FROM a)), o AS (SELECT ym, lag(ym) OVER (ORDER BY ym) AS last FROM a),
 t AS (SELECT o.ym, CASE WHEN o.last IS NULL THEN 1.0 ELSE 1.0 - (SELECT count(*) FROM h x JOIN h y ON x.key = y.key WHERE x.ym = o.ym AND y.ym = o.last) / 10.0 END AS turnover FROM o)
 SELECT a.ym, n_uni, round(top, 4) AS top, round(bottom, 4) AS bottom, round(universe, 4) AS universe, round(CAST(turnover AS DOUBLE), 4) AS turnover, round(top - 0.002 * turnover, 4) AS top_net FROM a JOIN t ON a.ym = t.ym""")
 def top10_monthly_portfolio(spark, sf_dir):
-    s = signals(spark, sf_dir).withColumn("m", times.month_index(F.col("day"))).withColumn("o", F.struct("day", "id")).withColumn("key", F.col("firm") % 100 + 1)
+    s = keyed_signals(spark, sf_dir).withColumn("m", times.month_index(F.col("day"))).withColumn("o", F.struct("day", "id"))
     last = joins.fan_out_latest(s, "key", "m", "o").select("key", "ym", "x")
-    rets = market.monthly_returns(_returns(spark, sf_dir).dropna(subset=["r"]), "key", "date", "r")
-    return rounded(market.top_k_portfolio(last, rets, "key", "x", least=20), 4)
+    rets = market.monthly_returns(returns(spark, sf_dir).dropna(subset=["r"]), "key", "date", "r")
+    return rounded(market.top_k_portfolio(last, rets, "key", "x", least=5), 4)
 
 
 @query("""WITH p AS (SELECT l.quality AS gold, CASE WHEN length(d.text) >= 300 THEN 1 ELSE 0 END AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
@@ -307,7 +234,7 @@ def rank_ic_by_quarter(spark, sf_dir):
 @query(f"""WITH {RETURNS}, d AS (SELECT date, avg(r) * 0.001 AS r FROM rets WHERE r IS NOT NULL GROUP BY date), c AS (SELECT date, r, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS c FROM d)
 SELECT date, round(c, 5) AS equity, round(c / greatest(1.0, max(c) OVER (ORDER BY date)) - 1, 5) AS drawdown FROM c""")
 def equity_drawdown(spark, sf_dir):
-    d = _returns(spark, sf_dir).dropna(subset=["r"]).groupBy("date").agg((F.avg("r") * 0.001).alias("r"))
+    d = returns(spark, sf_dir).dropna(subset=["r"]).groupBy("date").agg((F.avg("r") * 0.001).alias("r"))
     w = Window.orderBy("date")  # a row per day
     d = d.withColumn("equity", F.exp(F.sum(F.log1p("r")).over(w)))
     return rounded(d.select("date", "equity", (F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(w)) - 1).alias("drawdown")), 5)
@@ -321,7 +248,7 @@ def quantile_buckets(spark, sf_dir):
 
 @query(f"""WITH {RETURNS}, v AS (SELECT key, date, count(r) OVER w AS n, stddev_pop(r) OVER w AS s FROM rets WINDOW w AS (PARTITION BY key ORDER BY date ROWS BETWEEN 2 FOLLOWING AND 21 FOLLOWING)) SELECT key, date, CASE WHEN n >= 15 THEN round(s, 5) END AS vol FROM v""")
 def realised_volatility(spark, sf_dir):
-    return rounded(windows.realised_volatility(_returns(spark, sf_dir), "key", "date", "r", 2, 21, 15, "vol").select("key", "date", "vol"), 5)
+    return rounded(windows.realised_volatility(returns(spark, sf_dir), "key", "date", "r", 2, 21, 15, "vol").select("key", "date", "vol"), 5)
 
 
 @query(f"""WITH {SIGNALS}, l AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY day DESC, id DESC) AS k FROM signals) SELECT firm, id, day FROM l WHERE k = 1""")
@@ -330,25 +257,40 @@ def keep_last(spark, sf_dir):
     return signals(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k = 1").select("firm", "id", "day")
 
 
-@query(f"""WITH {SIGNALS}, a AS (SELECT id, day, x, CAST(day - DATE '1970-01-01' AS BIGINT) AS d FROM signals WHERE firm <= 200 OR firm > 0),
+@query(f"""WITH {SIGNALS}, a AS (SELECT id, day, x, CAST(day - DATE '1970-01-01' AS BIGINT) AS d FROM signals),
 w AS (SELECT id, x, d, list(x) OVER (ORDER BY d RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS h FROM a)
 SELECT id, CASE WHEN len(h) >= 20 THEN round((len(list_filter(h, lambda v: v < x)) + 0.5 * len(list_filter(h, lambda v: v = x))) / len(h), 6) END AS pct FROM w""")
 def pit_midrank(spark, sf_dir):
     return rounded(windows.midrank(signals(spark, sf_dir), "day", "x", "pct", 30).select("id", "pct"))
 
 
-@query()
+@query(f"""WITH {KEYED}, {PANEL}, a AS (SELECT key, day, x, list(x) OVER (ORDER BY CAST(day - DATE '1970-01-01' AS BIGINT) RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING) AS h FROM keyed),
+q AS (SELECT key, day, CASE WHEN len(h) >= 20 THEN (len(list_filter(h, lambda v: v < x)) + 0.5 * len(list_filter(h, lambda v: v = x))) / len(h) END AS pct FROM a),
+s AS (SELECT key, day, CASE WHEN pct <= 0.2 THEN -1 WHEN pct >= 1 - 0.2 THEN 1 ELSE 0 END AS side FROM q WHERE pct IS NOT NULL),
+p AS (SELECT key, date, close, row_number() OVER k - 1 AS pos, close / (close * 0.99) - 1 AS day0, close / lag(close) OVER k - 1 AS later FROM panel WINDOW k AS (PARTITION BY key ORDER BY date)),
+e AS (SELECT p.key, p.pos, s.side, least(1.0 / (5 * count(*) OVER (PARTITION BY p.date, s.side)), 0.1) AS w, row_number() OVER () AS eid FROM s JOIN p ON s.key = p.key AND p.date = s.day + 1 WHERE s.side <> 0),
+h AS (SELECT e.eid, e.side, e.w, t.k, p.date, CASE WHEN t.k = 0 THEN p.day0 ELSE p.later END AS r FROM e CROSS JOIN (SELECT unnest(range(5)) AS k) t JOIN p ON p.key = e.key AND p.pos = e.pos + t.k),
+g AS (SELECT *, w * exp(sum(ln(1 + coalesce(r, 0))) OVER v) AS grown, lead(k) OVER v IS NULL AS ends FROM h WINDOW v AS (PARTITION BY eid ORDER BY k)),
+d AS (SELECT date, sum(side * w * r) AS ret, sum(CASE WHEN k = 0 THEN w ELSE 0 END + CASE WHEN ends THEN grown ELSE 0 END) AS turnover, count(*) AS n_positions, sum(side * w) AS exposure FROM g GROUP BY date),
+c AS (SELECT DISTINCT date FROM panel WHERE date BETWEEN (SELECT min(date) FROM d) AND (SELECT max(date) FROM d))
+SELECT c.date, round(coalesce(ret, 0), 4) AS ret, round(coalesce(turnover, 0), 4) AS turnover, coalesce(n_positions, 0) AS n_positions, round(coalesce(exposure, 0), 4) AS exposure,
+round(coalesce(ret, 0) - coalesce(turnover, 0) * 5 / 1e4, 4) AS net FROM c LEFT JOIN d ON c.date = d.date""")
 def calendar_time_portfolio(spark, sf_dir):
-    """Signals by rank, held 5 days in a panel of suppliers; net of 5 bps."""
+    """Signals by rank, entered at the open of the next day where their supplier has one, held 5 rows; net of 5 bps a side."""
     p = joins.with_position(panel(spark, sf_dir).withColumn("open", F.col("close") * 0.99), "key", "date")
-    s = windows.midrank(signals(spark, sf_dir).withColumn("key", F.col("firm") % 100 + 1), "day", "x", "pct", 90)
-    s = s.withColumn("side", windows.side("pct")).filter("side != 0").withColumn("date", F.date_add("day", 1))
-    events = s.join(p.select("key", "date", "pos"), ["key", "date"]).select("key", "date", "pos", "side")
+    s = keyed_signals(spark, sf_dir)
+    ranked = windows.midrank(s, "day", "x", "pct", 90).withColumn("side", windows.side("pct")).filter("side != 0").withColumn("date", F.date_add("day", 1))
+    events = ranked.join(p.select("key", "date", "pos"), ["key", "date"]).select("key", "date", "pos", "side")
     held = market.tranches(events, p, "key", 5)
-    return rounded(market.calendar_portfolio(held, p.select("date"), 5))
+    return rounded(market.calendar_portfolio(held, p.select("date")), 4)
 
 
 @query()
 def placebo_fake_dates(spark, sf_dir):
-    cars = market.market_model_cars(_returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30).persist()
+    """All events and the operator's own numbers of turns and rows; no SQL, since the moves are hashes."""
+    cars = market.market_model_cars(returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30).select("key", "pos", "car")
     return rounded(market.placebo_cars(cars, cars.filter("car is not null").select("key", "pos"), "key"))
+
+
+# More queries register themselves.
+from cairn.plans import market_queries, panel_queries, text_queries  # noqa: E402, F401

@@ -10,11 +10,13 @@ from cairn.functions import stats
 from cairn.operators import joins
 
 
-def market_model_cars(panel: DataFrame, key: str, time: str, ret: str, market: str, event: tuple[int, int] = (-1, 10), estimation: tuple[int, int] = (-120, -21), least: int = 60, alpha: bool = True) -> DataFrame:
+def market_model_cars(panel: DataFrame, key: str, time: str, ret: str, market: str, event: tuple[int, int] = (-1, 10), estimation: tuple[int, int] = (-120, -21), least: int = 60, alpha: bool = True, risk_free: str | None = None) -> DataFrame:
     """car for every row of the panel as if it were an event: returns beyond alpha + beta * market over the event rows, both
-    estimated over the estimation rows. Sums over windows of prefix sums: a fixed number of lags a row, whatever the width."""
-    good = panel.dropna(subset=[ret, market]).withColumn("one", F.lit(1.0))
-    r, m = F.col(ret), F.col(market)
+    estimated over the estimation rows; with risk_free both are in excess of that column, and alpha may stay out of the
+    prediction. Sums over windows of prefix sums: a fixed number of lags a row, whatever the width."""
+    good = panel.dropna(subset=[ret, market, *([risk_free] if risk_free else [])]).withColumn("one", F.lit(1.0))
+    free = F.col(risk_free) if risk_free else F.lit(0.0)
+    r, m = F.col(ret) - free, F.col(market) - free
     w = Window.partitionBy(key).orderBy(time)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     terms = {"n": F.col("one"), "r": r, "m": m, "rm": r * m, "mm": m * m}
@@ -86,27 +88,104 @@ def bucket_cars(events: DataFrame, feature: str, car: str = "car", k: int = 3) -
 
 
 def tranches(events: DataFrame, panel: DataFrame, key: str, hold: int, cap: float = 0.1) -> DataFrame:
-    """A row for each day that an event (key, pos, date, side) is held: w and r; day 0 from open to close, then close to close.
-    w is min(1 / (hold * events of its day and side), cap) among events that have a price."""
+    """A row for each day that an event (key, pos, date, side) is held: w, r, entry, last and exit_w; day 0 from open to close, then
+    close to close. w is min(1 / (hold * events of its day and side), cap) among events that have a price. The last day, the
+    hold's or the series' end, leaves at exit_w: w grown by all returns of the event; null returns don't grow it."""
     w = Window.partitionBy(key).orderBy("pos")
-    days = panel.select(key, "pos", "date", (F.col("close") / F.nullif(F.col("open"), F.lit(0.0)) - 1).alias("first"), (F.col("close") / F.lag("close").over(w) - 1).alias("next"))
+    positive = lambda c: F.when(c > 0, c)
+    days = panel.select(key, "pos", "date", (F.col("close") / positive(F.col("open")) - 1).alias("first"), (F.col("close") / positive(F.lag("close").over(w)) - 1).alias("next"))
     priced = events.filter("side != 0").join(panel.select(key, "pos"), [key, "pos"], "left_semi")
     n = F.count("*").over(Window.partitionBy("date", "side"))
-    held = priced.withColumn("w", F.least(1.0 / (hold * n), F.lit(cap))).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(hold - 1))))
-    held = held.select(key, F.col("pos").alias("entry"), "side", "w", "day", (F.col("pos") + F.col("day")).alias("pos"))
-    return held.join(days, [key, "pos"]).select(key, "entry", "side", "w", "day", "date", F.when(F.col("day") == 0, F.col("first")).otherwise(F.col("next")).alias("r"))
-
-
-def calendar_portfolio(held: DataFrame, calendar: DataFrame, hold: int, bps: float = 5.0) -> DataFrame:
-    """Per day of the calendar: ret, turnover (entries and exits), net of costs, positions, exposure; days in cash are 0."""
-    daily = held.groupBy("date").agg(
+    own = F.row_number().over(Window.partitionBy(key, "pos").orderBy("side"))  # several events of one key and row
+    held = priced.withColumn("w", F.least(1.0 / (hold * n), F.lit(cap))).withColumn("_id", own).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(hold - 1))))
+    held = held.select(key, F.col("pos").alias("entry"), "_id", "side", "w", "day", (F.col("pos") + F.col("day")).alias("pos"))
+    rows = held.join(days, [key, "pos"]).withColumn("r", F.when(F.col("day") == 0, F.col("first")).otherwise(F.col("next")))
+    path = Window.partitionBy(key, "entry", "_id").orderBy("day")
+    grown = F.exp(F.sum(F.log1p(F.coalesce("r", F.lit(0.0)))).over(path))
+    last = F.lead("day").over(path).isNull()
+    return rows.withColumn("last", last).withColumn("exit_w", F.when(F.col("last"), F.col("w") * grown)).select(key, "entry", "side", "w", "day", "date", "r", "last", "exit_w")
+
+
+def calendar_portfolio(held: DataFrame, calendar: DataFrame, bps: float = 5.0, variant: str = "long_short") -> DataFrame:
+    """Per day of the calendar from the first to the last position: ret, turnover (entries at w, exits at exit_w), n_positions,
+    exposure, and net of costs per side; days in cash are 0. variant long_only drops shorts, which their events' weights allow
+    for by side."""
+    if variant not in ("long_short", "long_only"):
+        raise ValueError(f"variant {variant}")
+    rows = held.filter("side > 0") if variant == "long_only" else held
+    daily = rows.groupBy("date").agg(
         F.sum(F.col("side") * F.col("w") * F.col("r")).alias("ret"),
-        F.sum(F.when((F.col("day") == 0) | (F.col("day") == hold - 1), F.col("w")).otherwise(0.0)).alias("turnover"),
+        F.sum(F.when(F.col("day") == 0, F.col("w")).otherwise(0.0) + F.coalesce("exit_w", F.lit(0.0))).alias("turnover"),
         F.count("*").alias("n_positions"),
         F.sum(F.col("side") * F.col("w")).alias("exposure"),
     )
-    out = joins.on_calendar(daily, calendar, "date", ["ret", "turnover", "n_positions", "exposure"])
-    return out.withColumn("net", F.col("ret") - F.col("turnover") * bps / 1e4)
+    whole = Window.partitionBy()  # a row per day
+    out = joins.on_calendar(daily.withColumn("_on", F.lit(1)), calendar, "date", ["ret", "turnover", "n_positions", "exposure"])
+    out = out.withColumn("_a", F.min(F.when(F.col("_on") == 1, F.col("date"))).over(whole)).withColumn("_z", F.max(F.when(F.col("_on") == 1, F.col("date"))).over(whole))
+    out = out.filter(F.col("date").between(F.col("_a"), F.col("_z"))).drop("_on", "_a", "_z")
+    return stats.apply_costs(out, "ret", "turnover", bps)
+
+
+def hedged(portfolio: DataFrame, market: DataFrame, ret: str = "net", name: str = "hedged") -> DataFrame:
+    """The portfolio's return less its exposure times the market's (date, r); a day without a market return hedges nothing."""
+    one = market.groupBy("date").agg(F.first("r", True).alias("_m"))
+    return portfolio.join(one, "date", "left").withColumn(name, F.col(ret) - F.col("exposure") * F.coalesce("_m", F.lit(0.0))).drop("_m")
+
+
+def liquid(events: DataFrame, panel: DataFrame, key: str, time: str, dollars: str, rows: int = 60, least: float = 5e6) -> DataFrame:
+    """Events whose key's mean dollar volume over its last `rows` rows strictly before the event is at least `least`."""
+    from cairn.operators import windows
+
+    adv = windows.full_mean(panel, key, "date", dollars, rows, "adv").select(key, F.col("date").alias(time), "adv")
+    return joins.asof_backward(events, adv, [key], time, ["adv"]).filter(F.col("adv") >= least)
+
+
+def equal_weight_open(events: DataFrame, panel: DataFrame, key: str, hold: int = 63, cost: float = 0.0005) -> DataFrame:
+    """Per day the mean return of open longs and of open shorts, long less short, and numbers of positions.
+
+    events (key, pos, side) enter at the close of the row after theirs and leave `hold` rows later or at the series' end; returns
+    count from the row after the entry; events in the last two rows are left out. Both legs pay cost on entering and leaving."""
+    size = panel.groupBy(key).agg((F.max("pos") + 1).alias("_size"))
+    own = events.filter("side != 0").select(key, "pos", "side").join(size, key).withColumn("_in", F.col("pos") + 1).filter("_in < _size - 2")
+    own = own.withColumn("_out", F.least(F.col("_in") + hold, F.col("_size") - 1))
+    held = own.withColumn("pos", F.explode(F.sequence(F.col("_in") + 1, F.col("_out"))))
+    r = F.col("close") / F.lag("close").over(Window.partitionBy(key).orderBy("pos")) - 1
+    days = panel.select(key, "pos", "date", r.alias("r"))
+    trades = (F.col("pos") == F.col("_in") + 1).cast("int") + (F.col("pos") == F.col("_out")).cast("int")
+    rows = held.join(days, [key, "pos"]).filter("r is not null").withColumn("x", F.col("side") * F.col("r") - trades * cost)
+    leg = lambda s: F.when(F.col("side") == s, F.col("x"))
+    out = rows.groupBy("date").agg(F.avg(leg(1)).alias("long"), F.avg(leg(-1)).alias("short"), F.count(leg(1)).alias("n_long"), F.count(leg(-1)).alias("n_short"))
+    return out.withColumn("long_short", F.coalesce("long", F.lit(0.0)) + F.coalesce("short", F.lit(0.0)))
+
+
+def shuffled_signals(events: DataFrame, signal: str, order: list[str], turns: int = 20, seed: int = 42) -> DataFrame:
+    """events with turn 1 to `turns`, the signal of each row dealt to another row of the turn by hash.
+
+    Ranks within hash buckets and buckets' sizes give both sides' places, so no task orders a whole turn."""
+    rows = events.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(turns))))
+    parts = 256
+
+    def placed(df: DataFrame, salt: int, name: str) -> DataFrame:
+        h = F.xxhash64(*order, "turn", F.lit(seed + salt))
+        df = df.withColumn("_h", h).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(parts)).cast("int"))
+        sizes = df.groupBy("turn", "_b").agg(F.count("*").alias("_c"))
+        sizes = sizes.withColumn("_o", F.sum("_c").over(Window.partitionBy("turn").orderBy("_b")) - F.col("_c")).drop("_c")
+        within = F.row_number().over(Window.partitionBy("turn", "_b").orderBy("_h", *order)) - 1
+        return df.withColumn("_i", within).join(sizes, ["turn", "_b"]).withColumn(name, F.col("_o") + F.col("_i")).drop("_h", "_b", "_o", "_i")
+
+    to = placed(rows.drop(signal), 1, "_p")
+    source = placed(rows.select(*order, "turn", signal), 2, "_p").select("turn", "_p", signal)
+    return to.join(source, ["turn", "_p"]).drop("_p").select(*events.columns, "turn")
+
+
+def buy_and_hold(prices: DataFrame, names: list[str], calendar: DataFrame, key: str = "ticker", ret: str = "ret_cc") -> tuple[DataFrame, list[str]]:
+    """(key, date, ret) of benchmarks on the calendar, 0 where they have no return, and the names that prices lack, which are
+    left out rather than shown as flat."""
+    found = prices.filter(F.col(key).isin(names))
+    there = [r[0] for r in found.select(key).distinct().collect()]
+    grid = calendar.select("date").distinct().withColumn(key, F.explode(F.array(*map(F.lit, sorted(there))))) if there else calendar.select("date").limit(0).withColumn(key, F.lit(""))
+    out = grid.join(found.select(key, "date", ret), [key, "date"], "left").fillna(0.0, [ret])
+    return out.select(key, "date", ret), [n for n in names if n not in there]
 
 
 def monthly_returns(daily: DataFrame, key: str, day: str, ret: str) -> DataFrame:
@@ -118,7 +197,8 @@ def monthly_returns(daily: DataFrame, key: str, day: str, ret: str) -> DataFrame
 def top_k_portfolio(signals: DataFrame, returns: DataFrame, key: str, signal: str, k: int = 10, least: int = 100, bps: float = 10.0) -> DataFrame:
     """Per month the k highest and lowest signals, equally weighted: n_uni, top, bottom, universe, turnover, top_net.
 
-    signals (key, ym, signal) are joined to returns (key, ym, mret); months under `least` keys are left out; ties go by key."""
+    signals (key, ym, signal) are joined to returns (key, ym, mret); months under `least` keys are left out; ties go by key. One
+    pass over the ranked rows: a month keeps the names of its k, and turnover compares months."""
     both = signals.join(returns.dropna(subset=["mret"]), [key, "ym"]).dropna(subset=[signal])
     by = Window.partitionBy("ym")
     ranked = both.withColumn("hi", F.row_number().over(by.orderBy(F.desc(signal), F.asc(key)))).withColumn("lo", F.row_number().over(by.orderBy(F.asc(signal), F.asc(key))))
@@ -127,22 +207,25 @@ def top_k_portfolio(signals: DataFrame, returns: DataFrame, key: str, signal: st
         F.avg(F.when(F.col("hi") <= k, F.col("mret"))).alias("top"),
         F.avg(F.when(F.col("lo") <= k, F.col("mret"))).alias("bottom"),
         F.avg("mret").alias("universe"),
+        F.collect_set(F.when(F.col("hi") <= k, F.col(key))).alias("held"),
     ).filter(F.col("n_uni") >= least)
-    held = ranked.filter(F.col("hi") <= k).select(key, "ym").join(months.select("ym"), "ym", "left_semi")
-    order = months.select("ym", F.lag("ym").over(Window.orderBy("ym")).alias("last"))  # a row per month
-    stays = held.join(order, "ym").join(held.select(F.col(key), F.col("ym").alias("last")), [key, "last"], "left_semi").groupBy("ym").agg(F.count("*").alias("stay"))
-    out = months.join(order, "ym").join(stays, "ym", "left")
-    out = out.withColumn("turnover", F.when(F.col("last").isNull(), 1.0).otherwise(1.0 - F.coalesce("stay", F.lit(0)) / k))
+    before = F.lag("held").over(Window.orderBy("ym"))  # a row per month
+    out = months.withColumn("turnover", F.when(before.isNull(), 1.0).otherwise(1.0 - F.size(F.array_intersect("held", before)) / F.lit(float(k))))
     return out.withColumn("top_net", F.col("top") - 2 * bps / 1e4 * F.col("turnover")).select("ym", "n_uni", "top", "bottom", "universe", "turnover", "top_net")
 
 
 def purged_folds(df: DataFrame, time: str, ends: str, k: int = 5, embargo_days: int = 15) -> DataFrame:
-    """(fold, part) rows: each row tests in one fold and trains in those whose test span its own [time, ends] stays clear of."""
-    n = df.count()
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(time)) - 1)
-    rows = rows.withColumn("_f", F.least(F.floor((F.col("_i") + 1) * k / F.lit(float(max(n, 1))) - 1e-12), F.lit(k - 1)).cast("int"))
+    """(fold, part) rows: each row tests in one fold and trains in those whose test span its own [time, ends] stays clear of.
+
+    Rows of one time are numbered within it, after the rows of earlier times, which a table of one row per time counts."""
+    per = df.groupBy(time).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.orderBy(time))  # a row per time
+    per = per.select(F.col(time).alias("_t"), (upto - F.col("_c")).alias("_o"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    hashed = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c, t in df.dtypes if not t.startswith("map")))
+    rows = df.join(per, F.col(time).eqNullSafe(F.col("_t"))).withColumn("_i", F.col("_o") + F.row_number().over(Window.partitionBy(time).orderBy(hashed)) - 1)
+    rows = rows.withColumn("_f", F.least(F.floor(((F.col("_i") + 1) * k - 1) / F.col("_n")), F.lit(k - 1)).cast("int"))
     spans = rows.groupBy(F.col("_f").alias("fold")).agg(F.min(time).alias("_a"), F.max(ends).alias("_b"))
-    out = rows.join(F.broadcast(spans))  # k rows
+    out = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).join(F.broadcast(spans), "fold")  # k rows
     test = F.col("_f") == F.col("fold")
     clear = (F.col(ends) < F.col("_a")) | (F.col(time) > F.date_add("_b", embargo_days))
     return out.withColumn("part", F.when(test, "test").when(clear, "train")).filter("part is not null").select(*df.columns, "fold", "part")
@@ -189,3 +272,32 @@ def within_window_placebo(df: DataFrame, window: str, signal: str, ret: str, key
     rows = rows.withColumn("_a", F.row_number().over(by.orderBy(key))).withColumn("_b", place)
     dealt = rows.select("turn", window, F.col("_a").alias("_p"), F.col(ret).alias("_y")).join(rows.select("turn", window, F.col("_b").alias("_p"), F.col(signal).alias("_x")), ["turn", window, "_p"])
     return stats.rank_ic(dealt, "_x", "_y", ["turn"])
+
+
+def robustness_grid(events: DataFrame, panel: DataFrame, key: str, horizons: list[int], features: list[str], run, least: int = 50) -> DataFrame:
+    """(horizon, feature, status, n_events, sharpe, n_days) of run(events, panel, horizon, feature), which gives a daily series
+    (date, net), over all pairs; no pair is dropped: status is ok, no_column or few_events."""
+    out = []
+    for h in horizons:
+        for f in features:
+            if f not in events.columns:
+                out.append((h, f, "no_column", 0, None, None))
+                continue
+            own = events.dropna(subset=[f])
+            n = own.count()
+            if n < least:
+                out.append((h, f, "few_events", n, None, None))
+                continue
+            row = run(own, panel, h, f).agg(stats.sharpe("net").alias("s"), F.count("net").alias("d")).first()
+            out.append((h, f, "ok", n, row["s"], row["d"]))
+    return events.sparkSession.createDataFrame(out, "horizon int, feature string, status string, n_events long, sharpe double, n_days long")
+
+
+def ranked_strategy(events: DataFrame, panel: DataFrame, key: str, day: str, signal: str, hold: int = 63, top: float = 0.2, direction: int = 1, days: int = 90, history: int = 20, cap: float = 0.1, bps: float = 5.0, variant: str = "long_short") -> DataFrame:
+    """Percentile, sides, tranches and the calendar portfolio in one: events (key, day, signal) on a panel (key, pos, date, open,
+    close). Each event enters on its day, which must be one of its key's."""
+    from cairn.operators import windows
+
+    ranked = windows.midrank(events, day, signal, "_pct", days, history).withColumn("side", windows.side("_pct", top, direction)).filter("side != 0")
+    placed = ranked.join(panel.select(key, F.col("date").alias(day), "pos"), [key, day]).select(key, F.col(day).alias("date"), "pos", "side")
+    return calendar_portfolio(tranches(placed, panel, key, hold, cap), panel.select("date"), bps, variant)

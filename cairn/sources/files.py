@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 
 def read_jsonl_last(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
@@ -13,7 +16,39 @@ def read_jsonl_last(spark: SparkSession, path: str, schema: str, key: str, order
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header; a byte order mark before it is no part of the first name. Columns go by name, in the schema's order."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = {c.lstrip("\ufeff").strip('"'): c for c in rows.columns}
+    wanted = _parse_datatype_string(schema).fields
+    return rows.select(*((F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+
+
+def read_shards(spark: SparkSession, folders: list[str], schema: str | None = None) -> DataFrame:
+    """Parquet shards of several folders by name, columns that a folder lacks null; shards being written (dot or underscore names)
+    don't count."""
+    reader = lambda p: spark.read.schema(schema).parquet(p) if schema else spark.read.option("mergeSchema", True).parquet(p)
+    out = reader(folders[0])
+    for p in folders[1:]:
+        out = out.unionByName(reader(p), allowMissingColumns=True)
+    return out
+
+
+#: Names of price columns, as vendors write them, and ours.
+PRICE_COLUMNS = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume"}
+PRICE_SCHEMA = "date date, ticker string, open double, high double, low double, close double, volume double"
+
+
+def tidy_prices(raw: DataFrame, ticker: str, date: str | None = None) -> DataFrame:
+    """Vendor columns to ours, the date without a time, and the ticker; the first column is the date if none has that name."""
+    day = date or next((c for c in raw.columns if c.lower() == "date"), raw.columns[0])
+    known = {v: k for k, v in PRICE_COLUMNS.items()}
+    found = {ours: next((c for c in raw.columns if c in (vendor, ours)), None) for ours, vendor in known.items()}
+    return raw.select(F.to_date(F.col(f"`{day}`")).alias("date"), F.lit(ticker).alias("ticker"), *(F.col(f"`{c}`").alias(ours) for ours, c in found.items() if c))
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A typed table without rows."""
+    return spark.createDataFrame([], schema)
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame:
@@ -35,18 +70,36 @@ def company_facts(docs: DataFrame, key: str, json: str, tags: dict[str, list[str
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key the parquet table does not hold yet; the number of keys added. A run that was cut short resumes."""
+    """Appends rows whose key the parquet table does not hold yet; the number of keys added. A run that was cut short resumes.
+
+    Each call is one shard, written beside the table and moved in when whole: a failed run leaves none of its rows behind. A null
+    key counts as one key like any other."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    added = df.select(key).distinct().count()
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where) and any(x.getPath().getName().startswith("shard=") for x in files.listStatus(where)):
+        done = spark.read.parquet(path).select(F.col(key).alias("_done")).distinct()
+        df = df.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
+    name = uuid.uuid4().hex
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}/_part-{name}")
+    df.write.parquet(part.toString())
+    added = spark.read.schema(df.schema).parquet(part.toString()).select(key).distinct().count()
     if added:
-        df.write.mode("append").parquet(path)
+        files.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/shard={name}"))
+    else:
+        files.delete(part, True)
     return added
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def append_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
@@ -57,3 +110,48 @@ def markdown(df: DataFrame, rows: int = 1000) -> str:
     head = df.columns
     lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
     return "\n".join(lines + ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in df.limit(rows).collect()])
+
+
+def quality_report(tables: dict[str, DataFrame], title: str = "Quality") -> str:
+    """Small tables under their headings, as Markdown."""
+    return "\n\n".join([f"# {title}", *(f"## {i}. {name}\n\n{markdown(df)}" for i, (name, df) in enumerate(tables.items(), 1))]) + "\n"
+
+
+def plot_hours(hours: DataFrame, path: str) -> bool:
+    """A histogram of (hour, n) as PNG; false where matplotlib is missing."""
+    try:
+        import matplotlib
+    except ImportError:
+        return False
+    matplotlib.use("Agg")
+    import matplotlib.pyplot as plt
+
+    rows = hours.orderBy("hour").collect()
+    figure, axes = plt.subplots()
+    axes.bar([r["hour"] for r in rows], [r["n"] for r in rows])
+    axes.set_xlabel("hour")
+    figure.savefig(path)
+    plt.close(figure)
+    return True
+
+
+def plot_equity(curves: dict[str, DataFrame], path: str) -> bool:
+    """Curves (date, equity, drawdown) as PNG: equity on a log scale above, the first curve's drawdown below."""
+    try:
+        import matplotlib
+    except ImportError:
+        return False
+    matplotlib.use("Agg")
+    import matplotlib.pyplot as plt
+
+    figure, (top, low) = plt.subplots(2, 1, sharex=True)
+    for i, (name, df) in enumerate(curves.items()):
+        rows = df.orderBy("date").toPandas()  # a row per day
+        top.plot(rows["date"], rows["equity"], label=name)
+        if not i:
+            low.fill_between(rows["date"], rows["drawdown"], 0)
+    top.set_yscale("log")
+    top.legend()
+    figure.savefig(path)
+    plt.close(figure)
+    return True

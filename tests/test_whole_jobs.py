@@ -6,6 +6,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from cairn.plans import catalog, market
+from cairn.plans.registry import returns
 
 
 def brute_sentences(text):
@@ -17,7 +18,7 @@ def test_sentence_counts_of_every_document(spark, sf_dir, tmp_path):
     odd = [None, "", " ", "A. B. C. D", "Is it 1. 2. 3? Yes! X! \"Q\" 'r'", "x.  \n Y.\t Z"]
     rows = docs + [(10**6 + i, t) for i, t in enumerate(odd)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in catalog.QUERIES["sentence_counts_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["sentence_counts"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((i, brute_sentences(t)) for i, t in rows)
     assert dict(got)[10**6 + 3] == 4
 
@@ -36,7 +37,7 @@ def brute_placebo(spark, cars, events, iters, least, most):
 
 
 def test_placebo_moves_every_event(spark, sf_dir):
-    panel = catalog._returns(spark, sf_dir).filter("key <= 2")
+    panel = returns(spark, sf_dir).filter("key <= 2")
     cars = market.market_model_cars(panel, "key", "date", "r", "m", (-1, 3), (-60, -11), 30).persist()
     events = cars.filter("car is not null").select("key", "pos")
     for limits in ((20, 22, 250), (300, 1, 3)):
@@ -50,6 +51,6 @@ def test_placebo_moves_every_event(spark, sf_dir):
 
 def test_placebo_query_takes_all_events_and_turns(spark, sf_dir):
     out = catalog.QUERIES["placebo_fake_dates"](spark, sf_dir).collect()
-    cars = market.market_model_cars(catalog._returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30)
+    cars = market.market_model_cars(returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30)
     events = cars.filter("car is not null").count()
     assert sorted(r["turn"] for r in out) == list(range(1, 1001)) and all(events / 2 < r["n"] <= events for r in out)
