@@ -23,9 +23,24 @@ BLOCK, FOLD, LONG, ROUNDS = 12 << 20, 1 << 14, 200, 2000
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(1)
+def _unsure() -> str:
+    """Characters, as the inside of a regular expression's set, that Python's tables and the library's may treat apart: controls,
+    and code points without a character in Python's version of Unicode."""
+    import sys
+
+    odd = [c < 32 or unicodedata.category(chr(c)) in ("Cn", "Cs") for c in range(sys.maxunicode + 1)]
+    out, start = [], None
+    for c, is_odd in enumerate([*odd, False]):
+        if is_odd and start is None:
+            start = c
+        elif not is_odd and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
 
 
 def _byte_letters() -> list[str]:
@@ -62,7 +77,9 @@ class WordEncoder:
         self.result = np.array(joined, np.int64)
         self.moves, self.slots = (np.array(x, np.int64) for x in bpe.displacement_map(pairs))
         self.words = regex.compile(steps[0]["pattern"]["Regex"] + "| ").findall
-        self.space, self.odd = regex.compile(r"\s+"), regex.compile("[\x00-\x1f]")
+        self.space, self.odd = regex.compile(r"\s+"), regex.compile(f"[{_unsure()}]")
+        #: Texts with a special token's string go to the library as a whole, whatever their case.
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)", regex.IGNORECASE)
         self.path = path
 
     def split(self, text: str) -> list[str]:
@@ -120,7 +137,11 @@ def _cutter(path: str, capacity: int, end: int, with_ids: bool):
             counts = np.diff(ends)
             rows = []
             for i, r in zip(docs, refs):
-                ids = np.concatenate((bpe._ragged(tokens, ends[r], counts[r]) if len(r) else tokens[:0], last)).astype("<u4")
+                if isinstance(r, str):
+                    own = np.array(_tokenizer(path).encode(r, add_special_tokens=False).ids, np.uint32)
+                else:
+                    own = bpe._ragged(tokens, ends[r], counts[r]) if len(r) else tokens[:0]
+                ids = np.concatenate((own, last)).astype("<u4")
                 for a in range(0, len(ids), capacity):
                     raw = ids[a : a + capacity].tobytes()
                     rows.append((i, a, len(raw) // 4, zlib.crc32(raw), len(ids), raw if with_ids else None))
@@ -130,9 +151,12 @@ def _cutter(path: str, capacity: int, end: int, with_ids: bool):
         for batch in batches:
             for i, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
-                chunks = encoder.split(text)
                 docs.append(i.as_py())
-                refs.append(np.fromiter(map(numbers.__getitem__, chunks), np.int32, len(chunks)))
+                if encoder.special.search(text):
+                    refs.append(text)
+                else:
+                    chunks = encoder.split(text)
+                    refs.append(np.fromiter(map(numbers.__getitem__, chunks), np.int32, len(chunks)))
                 size += len(text)
                 if size >= BLOCK:
                     yield finish(docs, refs, numbers)
@@ -264,7 +288,7 @@ def pack_pieces(pieces: DataFrame, key: list[str], capacity: int = 4096, width:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 2, with_ids: bool = True) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, ids, sequence_id, offset.
 
-    A document's ids (null text is empty) end with `end`. Documents of more than `capacity` ids are cut every `capacity`,
+    A document's ids (null text is empty) are those of the tokenizers library without added special tokens, and end with `end`. Documents of more than `capacity` ids are cut every `capacity`,
     others stay whole. ids are little-endian unsigned 32-bit (null unless with_ids). Rows of one doc_id, or of none, are
     documents of their own. An empty table gives no row; other columns are ignored.
     """

@@ -123,7 +123,6 @@ def _pieces_are_whole(rows, docs):
 
 def test_op3_against_tokenizers(spark, sf_dir):
     tok = packing._tokenizer(queries.tokenizer("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     docs = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
     n = _pieces_are_whole(queries.op3_packing(spark, sf_dir).collect(), docs)
@@ -139,13 +138,37 @@ def test_word_encoder_is_the_library():
         assert enc.encode(chunks)[0].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    path = queries.tokenizer("word_bpe_49k.json")
+    tok, enc = packing._tokenizer(path), packing.WordEncoder(path)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 1 << 15):
+        some = [f"a{c}b {c} A{c}1" for c in points[a : a + (1 << 15)]]
+        want = [x.ids for x in tok.encode_batch(some, add_special_tokens=False)]
+        chunks = [enc.split(t) for t in some]
+        ids, ends = enc.encode([c for cs in chunks for c in cs])
+        at = 0
+        for t, cs, w in zip(some, chunks, want):
+            got = ids[ends[at] : ends[at + len(cs)]].tolist()
+            at += len(cs)
+            assert got == w, (hex(ord(t[1])), got, w)
+
+
+def test_special_tokens_in_texts(spark):
+    path = queries.tokenizer("word_bpe_49k.json")
+    tok = packing._tokenizer(path)
+    texts = ["a<|endoftext|>b", "<|startoftext|>", "A <|EndOfText|> b", "<|endoftext|", "x <|endoftext|> <|endoftext|>y\n"]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for r in out:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
+
+
 def test_packing_odd_texts(spark, odd):
     path = queries.tokenizer("word_bpe_49k.json")
     tok = packing._tokenizer(path)
-    tok.encode_special_tokens = True
     out = packing.pack_documents(odd, path).collect()
     docs = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(ODD) if i != 3}
-    docs[None] = [*tok.encode("no id").ids, 2]
+    docs[None] = [*tok.encode("no id", add_special_tokens=False).ids, 2]
     again = [r for r in out if r["doc_id"] == 3]
     assert len(again) == 3 and sorted(r["doc_tokens"] for r in again) == [1, 2, 2]
     rest = [r for r in out if r["doc_id"] != 3]
