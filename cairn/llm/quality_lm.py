@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch, bitmap, marked, text_chunks
 
@@ -17,6 +17,8 @@ SYMBOLS = 128
 BITS = 21
 #: Blocks that the documents of a file's split are dealt to, and the trigrams of a task's block that are merged at once.
 BLOCKS, HELD = 16, 1 << 20
+#: Languages whose limits are broadcast at most, and the salts of the join beyond.
+FEW, SALTS = 10_000, 64
 
 
 def _codes(offsets: np.ndarray, data: np.ndarray):
@@ -238,9 +240,26 @@ def perplexity_filter(docs: DataFrame, labels: DataFrame, quantile: float = 0.99
     dealt = texts.select(block.alias("block"), "doc_id", "lang", "text").groupBy("block")
     scored = scratch.save(dealt.cogroup(known.groupBy("of")).applyInArrow(_score, "doc_id long, lang string, n_chars long, perplexity double"))
     good = scored.join(trusted, "doc_id", "left_semi").filter("perplexity is not null")
-    rank = F.percentile_approx("perplexity", quantile, 10000)
-    limits = good.groupBy("lang").agg(rank.alias("own"))
-    everyone = good.agg(rank).first()[0]
-    everyone = F.lit(math.inf if everyone is None else float(everyone))
-    out = scored.join(limits, "lang", "left").withColumn("threshold", margin * F.coalesce("own", everyone))
+    own, everyone = _limits(good, quantile)
+    everyone = F.lit(math.inf if everyone is None else everyone)
+    if own.count() <= FEW:
+        scored = scored.join(F.broadcast(own), "lang", "left")
+    else:  # a hot language meets its limit in as many tasks as there are salts
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        wide = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = scored.withColumn("salt", F.coalesce(salt, F.lit(0))).join(wide.hint("merge"), ["lang", "salt"], "left")
+    out = scored.withColumn("threshold", margin * F.coalesce("own", everyone))
     return out.select("doc_id", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+
+
+def _limits(good: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
+    """(lang, own), and that of all: the least edge of a bin of 1e-4 in the logarithm up to which a share of `quantile` of the
+    perplexities lies. Counted per bin first, so no task holds a language's documents, and the same in any partitioning."""
+    bins = good.groupBy("lang", F.ceil(F.log("perplexity") * 10_000).alias("bin")).count()
+    w = Window.partitionBy("lang")
+    upto = bins.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
+    own = upto.filter(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.exp(F.min("bin") / 10_000).alias("own"))
+    whole = bins.groupBy("bin").agg(F.sum("count").alias("count"))
+    w = Window.partitionBy()  # a row per bin
+    upto = whole.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
+    return own, upto.filter(F.col("upto") >= quantile * F.col("all")).agg(F.exp(F.min("bin") / 10_000)).first()[0]
