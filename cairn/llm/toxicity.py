@@ -336,7 +336,8 @@ def _judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...]) -> DataFr
     y = sample["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         x = sample[list(FEATURES)].to_numpy(float)
-        w = fit_rising(np.vstack([x, misspelled(x[y == 1])]), np.append(y, np.ones(int(y.sum()))))
+        more = misspelled(x[(y == 1) & (x[:, 0] > 0)])
+        w = fit_rising(np.vstack([x, more]), np.append(y, np.ones(len(more))))
         z = F.lit(float(w[-1]))
         for f, k in zip(FEATURES, w):
             z = z + F.col(f) * float(k)
@@ -353,8 +354,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (words and beginnings of words that stand in many contexts of toxic documents and hardly in clean ones), the weights of
     a logistic regression on match features from at most MOST_ROWS of them, those of the smallest hashes. A match is a term or a
     word one edit from one that takes edits, which counts EDITED; in its window of words it is quoted, if quotation marks open
-    before and close after it, and then counts QUOTED of that, or abuse. The fit sees each toxic document a second time with all
-    its terms misspelled. Null and empty texts have no match. Without labels of both kinds all scores are the share of
+    before and close after it, and then counts QUOTED of that, or abuse. The fit sees each toxic document with matches a second
+    time with all its terms misspelled. Null and empty texts have no match. Without labels of both kinds all scores are the share of
     toxic labels, 0 without any. Repeated doc_ids keep their rows; a null doc_id is not held out and has no label;
     other columns are ignored.
     """
