@@ -18,7 +18,6 @@ def ids(df):
 
 def brute_pieces(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = set()
     for i, text in texts.items():
         whole = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -60,3 +59,35 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
         held.sort()
         assert [o for o, _ in held] == np.cumsum([0, *(n for _, n in held[:-1])]).tolist()
         assert sum(n for _, n in held) <= 4096
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, repeated and empty rows, columns of clashing names, an empty table: each row goes by its own verdict."""
+    good = " ".join(f"word{i}x" for i in range(60))
+    copy = good + " end"
+    other = " ".join(f"other{i}y" for i in range(70))
+    rows = [(1, good, "x"), (1, "bad", "x"), (None, "bad", "y"), (None, other, "y"), (2, copy, "z"), (3, None, "z"), (4, "", "z"), (4, other, "z"), (4, other, "z"), (5, "word " * 20000, "z")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, 2.0, True) for i, t, s in rows], "doc_id long, text string, lang string, source string, words int, score double, kept boolean")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r["doc_id"] or 0, r["text"] or "", r["source"]) for r in df.collect())
+    from cairn.llm import quality_rules
+
+    plain = quality_rules.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert plain.filter("kept").count() == 5
+    kept = quality_rules.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert kept.columns == docs.columns and texts(kept) == sorted([(1, good, "x"), (0, other, "y"), (2, copy, "z"), (4, other, "z"), (4, other, "z")])
+    assert stages["quality_rules"](spark, docs, str(tmp_path)).columns == docs.columns
+    clean = stages["toxicity"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert texts(clean) == texts(docs)
+    one = stages["near_duplicates"](spark, kept, str(tmp_path))
+    assert one.columns == docs.columns and sorted(t for _, t, _ in texts(one)) in ([other, copy], [other, good])
+    unique = docs.filter("doc_id in (1, 2) and text != 'bad'")
+    assert texts(stages["near_duplicates"](spark, unique, str(tmp_path))) == [(1, good, "x")]
+    whole = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert whole.filter("text is null or text = ''").count() == 2 and whole.filter("text = 'bad'").count() == 1
+    assert stages["packing"](spark, docs, str(tmp_path)).agg({"doc_tokens": "min"}).first()[0] == 1
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
