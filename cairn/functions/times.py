@@ -53,3 +53,24 @@ def assert_no_lookahead(df: DataFrame, decided: str, known: str) -> DataFrame:
 
 def month_index(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
+
+
+def quarter_end(day: Column) -> Column:
+    return F.last_day(F.add_months(F.date_trunc("quarter", day).cast("date"), 2))
+
+
+def cuts(first, last, months: int = 3) -> list:
+    """Ends of periods of `months` months from first to last (dates), for walking forward; the last day of each period's last month."""
+    import datetime as dt
+
+    out, ym = [], first.year * 12 + (first.month - 1) // months * months + months - 1
+    while True:
+        after = dt.date((ym + 1) // 12, (ym + 1) % 12 + 1, 1)
+        if after - dt.timedelta(1) > last:
+            return out
+        out.append(after - dt.timedelta(1))
+        ym += months
+
+
+def gap_days(later: Column, earlier: Column) -> Column:
+    return F.datediff(F.to_date(later), F.to_date(earlier))

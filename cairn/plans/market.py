@@ -36,6 +36,22 @@ def market_model_cars(panel: DataFrame, key: str, time: str, ret: str, market: s
     return sums.withColumn("car", F.when(full, F.col("v_r") - expected)).select(*panel.columns, "pos", "beta", "alpha", "car")
 
 
+def high_minus_low(events: DataFrame, feature: str, car: str = "car", k: int = 3) -> dict | None:
+    """Difference of the means of the highest and the lowest bucket, with Welch's t and p; null under two events in either."""
+    own = bucket_moments(events, feature, car, k)
+    low, high = own.get(1), own.get(k)
+    if not low or not high or min(low[2], high[2]) < 2:
+        return None
+    found = stats.welch(high[0], high[1], high[2], low[0], low[1], low[2])
+    return {"diff": high[0] - low[0], "t": found and found[0], "p": found and found[1], "n_high": high[2], "n_low": low[2]}
+
+
+def bucket_moments(events: DataFrame, feature: str, car: str, k: int) -> dict[int, tuple[float, float, int]]:
+    """Mean, sample variance and number of each bucket."""
+    out = stats.quantile_bucket(events.dropna(subset=[feature, car]), feature, k).groupBy("bucket")
+    return {r["bucket"]: (r["m"], r["v"], r["n"]) for r in out.agg(F.avg(car).alias("m"), F.var_samp(car).alias("v"), F.count("*").alias("n")).collect()}  # k rows
+
+
 #: Moved events of a key that one step of placebo_cars holds.
 MOVES = 1 << 20
 

@@ -9,6 +9,14 @@ from cairn.operators import audit, joins, regress, tone, transcripts, windows
 from cairn.plans.registry import KEYED, PANEL, RETURNS, SIGNALS, WORDS, keyed_signals, panel, query, returns, rounded, signals, table, word_counts
 
 
+PAIRS = f"{SIGNALS}, d AS (SELECT id, firm, day, x / 1e5 AS x, x / 2e5 + (id % 11) / 10.0 AS y, year(day) * 4 + quarter(day) AS q FROM signals)"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signals(spark, sf_dir)
+    return s.select("id", "firm", "day", (F.col("x") / 1e5).alias("x"), (F.col("x") / 2e5 + F.col("id") % 11 / 10).alias("y"), (F.year("day") * 4 + F.quarter("day")).alias("q"))
+
+
 @query(f"WITH {PANEL}, f AS (SELECT *, CASE WHEN volume > 20 THEN close END AS c FROM panel), l AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY key ORDER BY date) AS x FROM f) SELECT key, date, round(x / nullif(lag(x) OVER (PARTITION BY key ORDER BY date), 0) - 1, 5) AS ret, round(c * volume, 2) AS dollar_volume FROM l")
 def daily_returns(spark, sf_dir):
     p = panel(spark, sf_dir).withColumn("close", F.when(F.col("volume") > 20, F.col("close")))
@@ -48,6 +56,47 @@ def past_median_split(spark, sf_dir):
     return windows.past_median_split(signals(spark, sf_dir), "firm", ["day", "id"], "x", "side").select("id", "side")
 
 
+@query(f"WITH {SIGNALS} SELECT id, round(lag(x) OVER (PARTITION BY firm ORDER BY day, id), 4) AS last_x FROM signals")
+def lagged_signal(spark, sf_dir):
+    return rounded(windows.lag_value(signals(spark, sf_dir), "firm", ["day", "id"], "x", "last_x").select("id", "last_x"), 4)
+
+
+@query(f"""WITH {WORDS}, p AS (SELECT call, role, sum(nw) AS w, sum(pos) / sum(nw) AS p, sum(neg) / sum(nw) AS n FROM words GROUP BY 1, 2 HAVING sum(nw) >= 25), m AS (SELECT *, median(w) OVER (PARTITION BY call) AS mw FROM p), k AS (SELECT * FROM m WHERE w >= mw),
+c AS (SELECT *, avg(p) OVER (PARTITION BY call) AS cp, avg(n) OVER (PARTITION BY call) AS cn FROM k)
+SELECT call, count(*) AS n_entities, round(avg(sqrt((p - cp) * (p - cp) + (n - cn) * (n - cn))), 6) AS distance FROM c GROUP BY 1 HAVING count(*) >= 1""")
+def above_median_distance(spark, sf_dir):
+    w = word_counts(spark, sf_dir).filter("nw > 0").withColumn("p", F.col("pos") / F.col("nw")).withColumn("n", F.col("neg") / F.col("nw"))
+    points = tone.entity_points(w, "call", "role", "nw", ["p", "n"], 25)
+    return rounded(tone.tone_distance(points, "call", ["p", "n"], above_median=True, least=1))
+
+
+@query("SELECT o_orderkey AS id, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end, CAST(DATE '1999-01-01' - CAST(o_orderdate AS DATE) AS INT) AS gap FROM orders")
+def quarter_ends(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), times.quarter_end(F.col("o_orderdate")).alias("quarter_end"), times.gap_days(F.lit("1999-01-01"), F.col("o_orderdate")).alias("gap"))
+
+
+@query("SELECT count(*) AS missing FROM (SELECT DISTINCT doc_id FROM documents WHERE n_chars >= 400) d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def scoring_backlog(spark, sf_dir):
+    n = audit.backlog(table(spark, sf_dir, "documents").filter("n_chars >= 400"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return spark.range(1).select(F.lit(n).cast("long").alias("missing"))
+
+
+@query("SELECT count(*) AS rows, count(o_totalprice) AS with_value, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last, round(avg(o_totalprice), 3) AS mean, round(median(o_totalprice), 3) AS median FROM orders")
+def run_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    return rounded(audit.run_summary(o, "o_totalprice", "d"), 3)
+
+
+@query(f"""WITH {PAIRS}, e AS (SELECT quantile_cont(x, 1.0 / 3) AS a, quantile_cont(x, 2.0 / 3) AS z FROM d), h AS (SELECT avg(y) AS m, var_samp(y) AS v, count(*) AS n FROM d, e WHERE x > z), l AS (SELECT avg(y) AS m, var_samp(y) AS v, count(*) AS n FROM d, e WHERE x <= a)
+SELECT h.n AS n_high, l.n AS n_low, round(h.m - l.m, 5) AS diff, round((h.m - l.m) / sqrt(h.v / h.n + l.v / l.n), 3) AS t FROM h, l""")
+def high_minus_low(spark, sf_dir):
+    from cairn.plans import market
+
+    f = market.high_minus_low(pairs(spark, sf_dir), "x", "y")
+    return spark.range(1).select(F.lit(f["n_high"]).cast("long").alias("n_high"), F.lit(f["n_low"]).cast("long").alias("n_low"), F.round(F.lit(f["diff"]), 5).alias("diff"), F.round(F.lit(f["t"]), 3).alias("t"))
+
+
 FLOWS = "flows AS (SELECT l_suppkey AS key, CAST(date_trunc('quarter', l_shipdate) AS DATE) + 90 AS period, CAST(date_trunc('quarter', l_shipdate) AS DATE) + 120 AS filed, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
@@ -183,14 +232,6 @@ def moments(spark, sf_dir):
     return rounded(table(spark, sf_dir, "orders").agg(*stats.moments("o_totalprice")), 4)
 
 
-PAIRS = f"{SIGNALS}, d AS (SELECT id, firm, day, x / 1e5 AS x, x / 2e5 + (id % 11) / 10.0 AS y, year(day) * 4 + quarter(day) AS q FROM signals)"
-
-
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signals(spark, sf_dir)
-    return s.select("id", "firm", "day", (F.col("x") / 1e5).alias("x"), (F.col("x") / 2e5 + F.col("id") % 11 / 10).alias("y"), (F.year("day") * 4 + F.quarter("day")).alias("q"))
-
-
 @query(f"""WITH {PAIRS}, c AS (SELECT firm, x - avg(x) OVER (PARTITION BY firm) AS x, y - avg(y) OVER (PARTITION BY firm) AS y FROM d), b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n, count(DISTINCT firm) AS g FROM c),
 s AS (SELECT firm, sum(x * (y - b * x)) AS s FROM c, b GROUP BY 1), m AS (SELECT sum(s * s) AS m FROM s)
 SELECT n, g AS clusters, round(b, 5) AS coef, round(b / sqrt(m / xx / xx * g / (g - 1) * (n - 1) / (n - 1 - g)), 3) AS t FROM b, m""")

@@ -322,3 +322,21 @@ def local_times(spark, sf_dir):
     """Instants in New York's winter; back through times.localise they give the same."""
     e = table(spark, sf_dir, "events").select("event_id", F.from_utc_timestamp("ts", "US/Eastern").alias("local"), "ts")
     return e.filter(times.localise(F.col("local")) == F.col("ts")).select("event_id", "local")
+
+
+@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) AS words FROM documents""")
+def document_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query()
+def packed_chunks(spark, sf_dir):
+    """Chunks of at most 64 words of every document; a test holds them against Python."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.pack_chunks(F.col("text"), 64)).alias("chunk", "text"))
+    return d.select("doc_id", "chunk", F.size(F.split("text", r"\s+")).alias("words"), F.md5("text").alias("digest"))
+
+
+@query()
+def shuffled_documents(spark, sf_dir):
+    """A fixed random order, English first."""
+    return transcripts.priority_shuffle(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", F.col("lang") == "en")

@@ -412,3 +412,73 @@ def test_streamed_scores(spark, tmp_path):
     for _ in range(2):
         streams.score_stream(spark, str(tmp_path / "in"), "i int, text string", ["i"], score, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_formulas():
+    assert stats.student_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6) and stats.student_p(0.0, 5) == pytest.approx(1.0)
+    t, p = stats.welch(1.0, 4.0, 10, 0.0, 1.0, 20)
+    assert t == pytest.approx(1 / math.sqrt(0.45)) and 0.1 < p < 0.2 and stats.welch(1.0, 0.0, 5, 0.0, 0.0, 5) is None
+    assert stats.deflated_sharpe(0.1, 0.0, 1, 101, 0.0, 3.0) == pytest.approx(0.8404, abs=2e-3)
+    assert stats.deflated_sharpe(0.1, 0.01, 20, 101, 0.0, 3.0) < 0.5 and stats.deflated_sharpe(0.1, 0.01, 0, 101, 0.0, 3.0) is None
+    assert T.label_order({0: "Neutral", 1: "POSITIVE", 2: "negative"}) == (2, 0, 1)
+    for bad in ({0: "pos", 1: "neg"}, {0: "pos", 1: "neg", 2: "neu", 3: "neutral"}):
+        with pytest.raises(ValueError):
+            T.label_order(bad)
+    assert times.cuts(dt.date(2019, 11, 5), dt.date(2020, 7, 1)) == [dt.date(2019, 12, 31), dt.date(2020, 3, 31), dt.date(2020, 6, 30)]
+    assert T.resolve_column(["Date", "TEXT"], ["body", "text", "date"]) == "TEXT" and T.resolve_column(["a"], ["b"]) is None
+
+
+def test_packed_chunks_against_python(spark, sf_dir):
+    import hashlib
+    import re
+
+    from cairn.plans import catalog
+
+    got = {}
+    for r in catalog.QUERIES["packed_chunks"](spark, sf_dir).collect():
+        got.setdefault(r["doc_id"], {})[r["chunk"]] = (r["words"], r["digest"])
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        units = []
+        for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+(?=[A-Z0-9\"'])", r["text"]):
+            words = re.split(r"[ \t\n\x0b\f\r]+", s.strip(" "))
+            if s.strip(" "):
+                units += [words[i : i + 64] for i in range(0, len(words), 64)]
+        out = []
+        for u in units:
+            if out and len(out[-1]) + len(u) <= 64:
+                out[-1] = out[-1] + u
+            else:
+                out.append(u)
+        own = got.get(r["doc_id"], {})
+        assert [own[i][0] for i in range(len(own))] == [len(c) for c in out]
+
+
+def test_shuffle_is_fixed_and_puts_first_first(spark, sf_dir):
+    from cairn.plans import catalog
+
+    runs = [[(r["doc_id"], r["lang"]) for r in catalog.QUERIES["shuffled_documents"](spark, sf_dir).collect()] for _ in range(2)]
+    langs = [x == "en" for _, x in runs[0]]
+    assert runs[0] == runs[1] and langs == sorted(langs, reverse=True) and [i for i, _ in runs[0]] != sorted(i for i, _ in runs[0])
+
+
+def test_readers_of_facts_and_ranges(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"k": "a", "n": 1, "v": "x"}\nbroken\n{"k": "a", "n": 2, "v": "y"}\n{"k": "b", "n": 1, "v": "z"}\n')
+    rows = files.read_jsonl_last(spark, str(tmp_path / "log.jsonl"), "k string, n int, v string", "k", "n").orderBy("k").collect()
+    assert [(r["k"], r["v"]) for r in rows] == [("a", "y"), ("b", "z")]
+    (tmp_path / "codes.txt").write_text(" 1 Agric  Farms\n          0100-0199 crops\n          0200-0299 stock\n 2 Food   Meals\n          2000-2009 meat\n")
+    got = [tuple(r) for r in files.read_ranges(spark, str(tmp_path / "codes.txt")).orderBy("low").collect()]
+    assert got == [(1, "Agric", "Farms", 100, 199), (1, "Agric", "Farms", 200, 299), (2, "Food", "Meals", 2000, 2009)]
+    unit = '[{"start": "2020-01-01", "end": "2020-03-31", "val": 5, "filed": "2020-05-01"}]'
+    doc = '{"facts": {"us-gaap": {"Second": {"units": {"USD": ' + unit + '}}, "Euro": {"units": {"EUR": ' + unit + "}}}}}"
+    out = files.company_facts(spark.createDataFrame([("x", doc)], "id string, j string"), "id", "j", {"income": ["First", "Second"], "other": ["Euro"]}).collect()
+    assert [(r["var"], str(r["end"]), r["val"]) for r in out] == [("income", "2020-03-31", 5.0)]
+
+
+def test_samples(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 10).alias("g"))
+    one, two = (sorted(r["id"] for r in transcripts.sample_groups(df, "g", 3, 7).collect()) for _ in range(2))
+    assert one == two and len(one) == 300 and len({i % 10 for i in one}) == 3
+    q = transcripts.quota_sample(df, "g", "id", 5).groupBy("g").count().collect()
+    assert all(r["count"] == 5 for r in q) and len(q) == 10
+    net = transcripts.programmatic_net(spark.createDataFrame([("A", "Tech", "x"), ("B", None, "Net"), ("C", "Oil", "Bad"), ("D", "Tech", "Bad"), ("E", "Oil", "Bad")], "ticker string, sector string, industry string"), ["E"], ["Bad"], ["Tech"], ["Net"])
+    assert sorted(r[0] for r in net.collect()) == ["A", "B", "E"]
