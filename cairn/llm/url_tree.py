@@ -36,8 +36,8 @@ def path_templates(urls: DataFrame, scratch: Scratch, prior: float, many: int =
 
     A tree per host, grown level by level until no path has a further segment. A number is `{n}`. Under one parent, values are `*`
     if there are `many` or more and they are spread as evenly as at least half as many equal ones, so that repeated crawls of the
-    same values generalise too; and labelled branches whose share of bad is within z standard errors of their parent's merge into
-    `~`. A branch whose labels differ from its parent's keeps its name, however many there are.
+    same values generalise too; and labelled branches, where there are two or more, whose share of bad is within z standard errors of
+    their parent's merge into `~`. A branch whose labels differ from its parent's keeps its name, however many there are.
 
     evidence is the smoothed share of bad of the same template over all hosts: its own counts and `weight` times the evidence
     of the template one segment shorter, down to all labelled urls and `prior`."""
@@ -52,10 +52,10 @@ def path_templates(urls: DataFrame, scratch: Scratch, prior: float, many: int =
     while not now.isEmpty():
         part = F.get("parts", F.lit(level))
         now = now.withColumn("part", F.when(part.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"), "{n}").otherwise(part))
-        branch = now.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
+        branch = now.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"), F.max("evidence").alias("up"))
         named = F.col("part") != "{n}"
         parent = branch.groupBy("host", "template").agg(
-            F.count("*").alias("k"),
+            F.count(F.when(F.col("lab") > 0, 1)).alias("k"),
             F.sum("lab").alias("all_lab"),
             F.sum("bads").alias("all_bads"),
             F.count(F.when(named, 1)).alias("values"),
@@ -68,12 +68,12 @@ def path_templates(urls: DataFrame, scratch: Scratch, prior: float, many: int =
         variable = named & (F.col("values") >= many) & (F.col("spread") >= F.col("values") / 2) & F.coalesce(alike, F.lit(True))
         similar = named & (F.col("k") > 1) & F.coalesce(alike, F.lit(False))
         label = F.concat("template", F.lit("/"), F.when(variable, "*").when(similar, "~").otherwise(F.col("part")))
-        tree = scratch.save(both.select(*keys, label.alias("grown"), "lab", "bads"))
-        now = scratch.save(now.join(tree.select(*keys, "grown").hint("merge"), keys))
-        over = scratch.again(tree).groupBy("grown").agg(F.sum("lab").alias("lab"), F.sum("bads").alias("bads"))
-        before = now.groupBy("grown").agg(F.max("evidence").alias("up"))  # a template has one parent, and so one evidence
-        grown = over.join(before.hint("merge"), "grown").select("grown", ((F.col("bads") + weight * F.col("up")) / (F.col("lab") + weight)).alias("own"))
-        now = now.join(grown.hint("merge"), "grown").select(*urls.columns, "parts", F.col("grown").alias("template"), F.col("own").alias("evidence"))
+        tree = scratch.save(both.select(*keys, label.alias("grown"), "lab", "bads", "up"))
+        # A template has one parent, and so one evidence above it. Branches, not pages, are dealt by template here.
+        over = tree.groupBy("grown").agg(F.sum("lab").alias("lab"), F.sum("bads").alias("bads"), F.max("up").alias("up"))
+        over = over.select("grown", ((F.col("bads") + weight * F.col("up")) / (F.col("lab") + weight)).alias("own"))
+        known = scratch.again(tree).select(*keys, "grown").join(over.hint("merge"), "grown")
+        now = now.join(known.hint("merge"), keys).select(*urls.columns, "parts", F.col("grown").alias("template"), F.col("own").alias("evidence"))
         now = scratch.save(now)  # short plans; a lost executor costs one level
         level += 1
         done.append(now.filter(F.size("parts") == level))

@@ -98,7 +98,7 @@ def brute_tree(pages, prior=0.2, weight=2.0, many=24, z=1.96):
             label = p
             if p != "{n}" and len(plain) >= many and sum(plain) ** 2 / sum(x * x for x in plain) >= len(plain) / 2 and alike is not False:
                 label = "*"
-            elif p != "{n}" and len(kin) > 1 and alike:
+            elif p != "{n}" and sum(k[2] > 0 for k in kin) > 1 and alike:
                 label = "~"
             grown[h, t, p] = f"{t}/{label}"
             over[f"{t}/{label}"][0] += lab
