@@ -95,9 +95,9 @@ def robustness_grid(spark, sf_dir):
     return rounded(market.robustness_grid(e, p, "key", [3, 5], ["x", "minus", "absent"], run))
 
 
-@query(f"WITH {PANEL} SELECT date, count(*) AS n, round(sum(close), 2) AS total FROM panel GROUP BY 1")
+@query(f"WITH {PANEL} SELECT date, count(*) AS n, round(sum(close), 4) AS total FROM panel GROUP BY 1")
 def daily_totals(spark, sf_dir):
-    return panel(spark, sf_dir).groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("total"))
+    return panel(spark, sf_dir).groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 
 @query(f"WITH {PANEL}, g AS (SELECT key, date, close, row_number() OVER (PARTITION BY key ORDER BY date) - 1 AS pos FROM panel) SELECT key, date, pos FROM g")

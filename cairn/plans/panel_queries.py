@@ -17,10 +17,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", "firm", "day", (F.col("x") / 1e5).alias("x"), (F.col("x") / 2e5 + F.col("id") % 11 / 10).alias("y"), (F.year("day") * 4 + F.quarter("day")).alias("q"))
 
 
-@query(f"WITH {PANEL}, f AS (SELECT *, CASE WHEN volume > 20 THEN close END AS c FROM panel), l AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY key ORDER BY date) AS x FROM f) SELECT key, date, round(x / nullif(lag(x) OVER (PARTITION BY key ORDER BY date), 0) - 1, 5) AS ret, round(c * volume, 2) AS dollar_volume FROM l")
+@query(f"WITH {PANEL}, f AS (SELECT *, CASE WHEN volume > 20 THEN close END AS c FROM panel), l AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY key ORDER BY date) AS x FROM f) SELECT key, date, round(x / nullif(lag(x) OVER (PARTITION BY key ORDER BY date), 0) - 1, 5) AS ret, round(c * volume, 4) AS dollar_volume FROM l")
 def daily_returns(spark, sf_dir):
     p = panel(spark, sf_dir).withColumn("close", F.when(F.col("volume") > 20, F.col("close")))
-    return windows.daily_returns(p, "key", "date").select("key", "date", F.round("ret", 5).alias("ret"), F.round("dollar_volume", 2).alias("dollar_volume"))
+    return windows.daily_returns(p, "key", "date").select("key", "date", F.round("ret", 5).alias("ret"), F.round("dollar_volume", 4).alias("dollar_volume"))
 
 
 @query(f"WITH {SIGNALS}, l AS (SELECT id, day, lead(x) OVER w AS nx, lead(day) OVER w AS nd FROM signals WINDOW w AS (PARTITION BY firm ORDER BY day, id)) SELECT id, CASE WHEN nd - day BETWEEN 30 AND 200 THEN round(nx, 4) END AS next_x FROM l")
@@ -168,9 +168,9 @@ def annual_pivot(spark, sf_dir):
     return rounded(audit.annual_pivot(o, "s", "d", "r").withColumn("year", F.col("year").cast("long")), 5)
 
 
-@query("SELECT 'o_totalprice' AS \"column\", count(*) AS n, round(avg(o_totalprice), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS sd, round(stddev_samp(o_totalprice) / avg(o_totalprice), 3) AS cv, round(quantile_cont(o_totalprice, 0.05), 3) AS p5, round(median(o_totalprice), 3) AS p50, round(quantile_cont(o_totalprice, 0.95), 3) AS p95, round(min(o_totalprice), 3) AS least, round(max(o_totalprice), 3) AS most FROM orders")
+@query("SELECT 'o_totalprice' AS \"column\", count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(stddev_samp(o_totalprice) / avg(o_totalprice), 4) AS cv, round(quantile_cont(o_totalprice, 0.05), 4) AS p5, round(median(o_totalprice), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, round(min(o_totalprice), 4) AS least, round(max(o_totalprice), 4) AS most FROM orders")
 def describe(spark, sf_dir):
-    return rounded(stats.describe(table(spark, sf_dir, "orders"), ["o_totalprice"]), 3)
+    return rounded(stats.describe(table(spark, sf_dir, "orders"), ["o_totalprice"]), 4)
 
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.001), 4) AS a, round(quantile_cont(l_extendedprice, 0.5), 4) AS b, round(quantile_cont(l_extendedprice, 0.95), 4) AS c FROM lineitem")
