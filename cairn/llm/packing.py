@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import os
 import unicodedata
 import zlib
 
@@ -26,21 +28,10 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(1)
-def _unsure() -> str:
-    """Characters, as the inside of a regular expression's set, that Python's tables and the library's may treat apart: controls,
-    and code points without a character in Python's version of Unicode."""
-    import sys
-
-    odd = [c < 32 or unicodedata.category(chr(c)) in ("Cn", "Cs") for c in range(sys.maxunicode + 1)]
-    out, start = [], None
-    for c, is_odd in enumerate([*odd, False]):
-        if is_odd and start is None:
-            start = c
-        elif not is_odd and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+def _unsure(character: str) -> bool:
+    """Whether Python's tables and the library's may treat a character apart: controls, and code points without a character in
+    Python's version of Unicode."""
+    return character < " " or unicodedata.category(character) in ("Cn", "Cs")
 
 
 def _byte_letters() -> list[str]:
@@ -77,9 +68,12 @@ class WordEncoder:
         self.result = np.array(joined, np.int64)
         self.moves, self.slots = (np.array(x, np.int64) for x in bpe.displacement_map(pairs))
         self.words = regex.compile(steps[0]["pattern"]["Regex"] + "| ").findall
-        self.space, self.odd = regex.compile(r"\s+"), regex.compile(f"[{_unsure()}]")
+        self.space = regex.compile(r"\s+")
         #: Texts with a special token's string go to the library as a whole, whatever their case.
-        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)", regex.IGNORECASE)
+        names = [x["content"] for x in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, names)) or "(?!)", regex.IGNORECASE)
+        #: What all of those begin with, as far as it has no case: a quick way to say that a text has none.
+        self.mark = "".join(itertools.takewhile(lambda c: c.lower() == c.upper(), os.path.commonprefix(names)))
         self.path = path
 
     def split(self, text: str) -> list[str]:
@@ -95,9 +89,9 @@ class WordEncoder:
     def _fold(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one after the other, and how many each has."""
         text = " ".join(chunks)
-        alone = set()
-        if self.odd.search(text) or max(map(len, chunks), default=0) >= LONG:
-            alone = {k for k, c in enumerate(chunks) if len(c) >= LONG or self.odd.search(c)}
+        alone, odd = set(), set(filter(_unsure, set(text)))
+        if odd or max(map(len, chunks), default=0) >= LONG:
+            alone = {k for k, c in enumerate(chunks) if len(c) >= LONG or not odd.isdisjoint(c)}
             text = " ".join("" if k in alone else c for k, c in enumerate(chunks))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # no final form of sigma
@@ -152,7 +146,7 @@ def _cutter(path: str, capacity: int, end: int, with_ids: bool):
             for i, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 docs.append(i.as_py())
-                if encoder.special.search(text):
+                if encoder.mark in text and encoder.special.search(text):
                     refs.append(text)
                 else:
                     chunks = encoder.split(text)
