@@ -7,11 +7,12 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, bitmap, marked
 
 #: Fields of a record's header line by the archive's version (fixed values of the format).
 ARC_FIELDS = {
@@ -19,8 +20,11 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 WARC_VERSION = b"WARC/1.0"
-#: Payload of an ARC file at most, unless one record is larger; records of a WARC file.
-ARC_BYTES, WARC_RECORDS = 4 << 20, 1000
+#: Bytes of an ARC file's payload and of a WARC file's records at most, unless one record is larger.
+ARC_BYTES, WARC_BYTES = 4 << 20, 16 << 20
+#: Bytes of a gzip file that are read at a time, and a member of no content, which stands between records in place of the text writer's line breaks (fixed value of the format).
+STEP = 1 << 14
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 
 
 def _field(x: str | None) -> str:
@@ -41,11 +45,29 @@ def arc_file(records: list[tuple[str, str, str, str, bytes]], version: int, name
     return b"".join(out)
 
 
+def _gunzip(data: bytes) -> bytes:
+    """All members of a gzip file, each read to its end in small steps: what follows a member is not copied for each."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        if data.startswith(EMPTY_MEMBER, at):
+            at += len(EMPTY_MEMBER)
+            continue
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            step = view[at : at + STEP]
+            out.append(member.decompress(step))
+            at += len(step)
+        if not member.eof:
+            raise ValueError("a gzip member ends before its trailer")
+        at -= len(member.unused_data)
+    return b"".join(out)
+
+
 def read_arc(data: bytes):
     """Records of an ARC file (gzip or not) after its version block, as (fields, content): by the header line that the version
     block declares and by declared lengths. A header line or length that doesn't fit raises ValueError."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _gunzip(data)
     at, names = 0, None
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -129,24 +151,54 @@ def pages_to_arcs(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(write, "content binary")
 
 
-def mark_revisits(records: DataFrame, least: int) -> DataFrame:
-    """Adds record_type and refers_to to converted records: of equal payloads of at least `least` bytes the smallest source_id
-    is the response (all rows of it, where it repeats), the others revisit it. Records without source_id are responses."""
-    first = records.filter((F.col("payload_bytes") >= least) & F.col("source_id").isNotNull()).groupBy("payload_digest", "payload_bytes").agg(F.min("source_id").alias("first"), F.min_by("record_id", F.struct("source_id", "record_id")).alias("first_id"))
-    joined = records.join(first, ["payload_digest", "payload_bytes"], "left")
-    again = F.coalesce(F.col("source_id") != F.col("first"), F.lit(False))
-    out = joined.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-    return out.withColumn("refers_to", F.when(again, F.col("first"))).withColumn("refers_to_id", F.when(again, F.col("first_id"))).drop("first", "first_id")
+def mark_revisits(records: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """Adds record_type, refers_to and refers_to_id to converted records, a table of Scratch.save: of equal payloads of at least
+    `least` bytes the smallest source_id is the response (all rows of it, where it repeats), the others revisit it. Records without
+    source_id are responses.
+
+    Only digests and ids are grouped. Records that bitmap() leaves unmarked are read past the join; of the others, revisits for
+    all but a few, no payload is needed where the join finds one."""
+    slim = records.filter((F.col("payload_bytes") >= least) & F.col("source_id").isNotNull()).select("payload_digest", "payload_bytes", "source_id", "record_id")
+    first = slim.groupBy("payload_digest", "payload_bytes").agg(F.min_by(F.struct("source_id", "record_id"), F.struct("source_id", "record_id")).alias("first"))
+    again = slim.join(first.hint("merge"), ["payload_digest", "payload_bytes"]).filter("source_id != first.source_id")
+    again = scratch.save(again.select("source_id", "payload_digest", "payload_bytes", F.col("first.source_id").alias("refers_to"), F.col("first.record_id").alias("refers_to_id")).distinct())
+    marks, at = bitmap(again, "source_id"), records.columns.index("source_id")
+
+    def rows(want: bool):
+        return lambda batches: (marked(b, marks, want, at) for b in batches)
+
+    unsure = records.mapInArrow(rows(True), records.schema).join(again.hint("merge"), ["source_id", "payload_digest", "payload_bytes"], "left")
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type")
+    unsure = unsure.select(*records.columns, kind, "refers_to", "refers_to_id")
+    sure = records.mapInArrow(rows(False), records.schema)
+    return sure.select(*records.columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_id")).unionByName(unsure)
+
+
+def _record(fields: list[str], block: bytes) -> bytes:
+    """A WARC record as a gzip member of its own."""
+    head = WARC_VERSION + b"\r\n" + "\r\n".join([*fields, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n"
+    return gzip.compress(head + block + b"\r\n\r\n", 1, mtime=0)
+
+
+def _about() -> bytes:
+    block = b"software: cairn\r\nformat: WARC File Format 1.0\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, "cairn warcinfo")
+    return _record(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2000-01-01T00:00:00Z", "Content-Type: application/warc-fields"], block)
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
-    """Writes marked records as WARC files (gzip), by Spark's text writer: it ends each record with the two line breaks that
-    end a WARC record, and its committer makes retried tasks safe."""
+    """Writes marked records as WARC files of about WARC_BYTES: a warcinfo record, then each record a gzip member. Spark's text
+    writer writes one row a file, and its committer makes retried tasks safe; what it writes after a row is an empty member.
+    Files bear that writer's .txt; they are .warc.gz by content."""
 
     def render(batches):
         schema = pa.schema([("value", pa.binary())])
+        held, size = [], 0
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([_about() + b"".join(held)], pa.binary())], schema=schema)
+
         for batch in batches:
-            out = []
             for r in batch.to_pylist():
                 again = r["record_type"] == "revisit"
                 block = (r["head"] or b"") + (b"" if again else r["payload"])
@@ -155,17 +207,22 @@ def write_warc(records: DataFrame, folder: str) -> None:
                 lines += [f"X-Source-Id: {'' if r['source_id'] is None else r['source_id']}"]
                 if again:
                     lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {r['refers_to_id']}", f"X-Refers-To-Source-Id: {r['refers_to']}"]
-                out.append(WARC_VERSION + b"\r\n" + "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
+                held.append(_record(lines, block))
+                size += len(held[-1])
+                if size >= WARC_BYTES:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
 
-    lines = records.mapInArrow(render, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", WARC_RECORDS).text(folder)
+    files = records.mapInArrow(render, "value binary").select(F.col("value").cast("string"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(folder)
 
 
 def parse_warc(data: bytes):
     """Records of a WARC file, as (header fields, block), by declared lengths."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _gunzip(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -189,6 +246,8 @@ def read_warc(spark, folder: str) -> DataFrame:
             for data in batch.column(0):
                 rows = []
                 for f, block in parse_warc(data.as_py()):
+                    if f["WARC-Type"] == "warcinfo":
+                        continue
                     response = f["WARC-Type"] == "response"
                     body = _http(block)[1]
                     size, digest = (len(body), _digest(body)) if response else (int(f["X-Payload-Length"]), f["WARC-Payload-Digest"].removeprefix("sha1:"))
@@ -198,7 +257,7 @@ def read_warc(spark, folder: str) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in READ.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
     return files.select("content").mapInArrow(read, READ)
 
 
@@ -207,12 +266,13 @@ def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Null html is an empty payload, a null url `-`; white space in urls is percent-encoded. Rows of one page_id are
     records of their own; a null page_id is a response that nothing refers to. Empty input gives no record. Other columns
-    are ignored. Only digests and identifiers are grouped; a payload that a third of all pages share is one row there.
+    are ignored. Only digests and identifiers are grouped; a payload that a third of all pages share is one row there. Files are
+    bounded by bytes, so one holds a few long pages or many short ones.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     records = scratch.save(convert_arcs(pages_to_arcs(pages)))
     folder = scratch.folder()
-    write_warc(mark_revisits(records, least), folder)
+    write_warc(mark_revisits(records, least, scratch), folder)
     scratch.drop(records)
     return read_warc(spark, folder)
