@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from cairn.session import get_session
 
-    s = get_session("tests", master=os.environ.get("TEST_MASTER", "local[4]"), **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false"})
+    s = get_session("tests", master=os.environ.get("TEST_MASTER", "local[8]"), **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.enabled": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
