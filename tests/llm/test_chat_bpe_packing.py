@@ -141,7 +141,9 @@ def test_word_encoder_is_the_library():
 def test_every_code_point_is_encoded_as_the_library_does():
     path = queries.tokenizer("word_bpe_49k.json")
     tok, enc = packing._tokenizer(path), packing.WordEncoder(path)
-    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    # All of the first 0x3400, of what lies between the large blocks of ideographs and syllables, and one in 61 of those blocks.
+    blocks = ((0x3400, 0xA000), (0xAC00, 0xD7B0), (0xE000, 0xF900), (0x17000, 0x18D00), (0x20000, 0xE0000), (0xF0000, 0x110000))
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 61 == 0 or not any(a <= c < z for a, z in blocks))]
     for a in range(0, len(points), 1 << 15):
         some = [f"a{c}b {c} A{c}1" for c in points[a : a + (1 << 15)]]
         want = [x.ids for x in tok.encode_batch(some, add_special_tokens=False)]
