@@ -118,7 +118,8 @@ def test_op2_against_brute_force(spark, sf_dir):
 
 @pytest.mark.parametrize("tile", [4096, 16])
 def test_vectors_odd_and_dense(spark, monkeypatch, tile):
-    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "TILE_BYTES", tile * 16 * 8)
+    monkeypatch.setattr(embedding_dedup, "TILE_LEAST", 4)
     rng = np.random.default_rng(2)
     centre = rng.standard_normal(16)
     rows = [(i, (centre + rng.standard_normal(16) * 0.11).astype(np.float32).tolist(), 1) for i in range(150)]
