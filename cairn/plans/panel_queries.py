@@ -195,9 +195,9 @@ def accounting_ratios(spark, sf_dir):
     return rounded(stats.accounting_ratios(f).select("id", "ln_assets", "btm", "lev", "roa", "rd_at", "etr", "smooth"), 5)
 
 
-@query(f"WITH {RETURNS}, d AS (SELECT date, avg(r) * 0.01 AS r FROM rets WHERE r IS NOT NULL GROUP BY 1), c AS (SELECT date, r, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS c FROM d), p AS (SELECT *, max(c) OVER (ORDER BY date) AS p FROM c) SELECT count(r) AS n, round(arg_max(c, date) - 1, 4) AS total, round(power(arg_max(c, date), 1.0 / ((max(date) - min(date)) / 365.25)) - 1, 4) AS cagr, round(stddev_samp(r) * sqrt(252), 4) AS vol, round(avg(r) / stddev_samp(r) * sqrt(252), 4) AS sharpe, round(min(c / p - 1), 4) AS max_drawdown, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate FROM p")
+@query(f"WITH {RETURNS}, d AS (SELECT date, avg(r) * 0.001 AS r FROM rets WHERE r IS NOT NULL GROUP BY 1), c AS (SELECT date, r, exp(sum(ln(1 + r)) OVER (ORDER BY date)) AS c FROM d), p AS (SELECT *, max(c) OVER (ORDER BY date) AS p FROM c) SELECT count(r) AS n, round(arg_max(c, date) - 1, 4) AS total, round(power(arg_max(c, date), 1.0 / ((max(date) - min(date)) / 365.25)) - 1, 4) AS cagr, round(stddev_samp(r) * sqrt(252), 4) AS vol, round(avg(r) / stddev_samp(r) * sqrt(252), 4) AS sharpe, round(min(c / p - 1), 4) AS max_drawdown, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate FROM p")
 def performance(spark, sf_dir):
-    d = returns(spark, sf_dir).filter("r is not null").groupBy("date").agg((F.avg("r") * 0.01).alias("r"))
+    d = returns(spark, sf_dir).filter("r is not null").groupBy("date").agg((F.avg("r") * 0.001).alias("r"))
     return rounded(stats.performance(d, "date", "r"), 4)
 
 
@@ -286,7 +286,7 @@ def overfitting_probability(spark, sf_dir):
 
 @query(f"""WITH {WORDS}, m AS (SELECT *, role = 'user' AS ask, role = 'user' AND coalesce(lag(role) OVER (PARTITION BY call ORDER BY turn), '') <> 'user' AS opens FROM words WHERE role IN ('user', 'assistant')), b AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY call ORDER BY turn) AS block FROM m),
 q AS (SELECT call, block, sum(nw) AS nw, sum(pos) AS pos FROM b WHERE ask GROUP BY 1, 2), s AS (SELECT call, block, sum(nw) AS nw, sum(pos) AS pos FROM b WHERE NOT ask GROUP BY 1, 2)
-SELECT s.call, CAST(s.block AS BIGINT) AS block, round(greatest(s.nw - coalesce(q.nw, 0) * CASE WHEN s.nw > 0 THEN 1 ELSE 0 END, 0), 4) AS nw, round(greatest(s.pos - coalesce(q.pos, 0) * CASE WHEN s.nw > 0 THEN 1 ELSE 0 END, 0), 4) AS pos FROM s LEFT JOIN q ON s.call = q.call AND s.block = q.block""")
+SELECT s.call, CAST(s.block AS BIGINT) AS block, round(CAST(greatest(s.nw - coalesce(q.nw, 0) * CASE WHEN s.nw > 0 THEN 1 ELSE 0 END, 0) AS DOUBLE), 4) AS nw, round(CAST(greatest(s.pos - coalesce(q.pos, 0) * CASE WHEN s.nw > 0 THEN 1 ELSE 0 END, 0) AS DOUBLE), 4) AS pos FROM s LEFT JOIN q ON s.call = q.call AND s.block = q.block""")
 def question_adjusted(spark, sf_dir):
     b = joins.pair_answers(word_counts(spark, sf_dir), "call", "turn", "role", "user", "assistant")
     b = b.withColumn("role", F.when(F.col("role") == "user", "analyst").otherwise("management")).withColumn("who", F.lit("m"))
