@@ -131,6 +131,27 @@ def average_rank(column: str, *by: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (ties - 1) / 2.0
 
 
+def pooled_rank(df: DataFrame, column: str, name: str, most: int = SORTED) -> DataFrame:
+    """Adds the rank of a column of doubles, without nulls and NaN, over all rows, with ties at their mean.
+
+    Equal values are counted first. Values are cut into ranges of about `most`, and what lies in lower ranges is a table of one row
+    per range, so no task orders all rows."""
+    counts = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    parts = max(1, min(4096, counts.count() // most))
+    edges = sorted(set(counts.agg(F.percentile_approx("_v", F.array(*(F.lit(i / parts) for i in range(1, parts))), 10 * parts)).first()[0])) if parts > 1 else []
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(edges), v.to_numpy(np.float64)).astype(np.int32))
+
+    counts = counts.withColumn("_r", place("_v") if edges else F.lit(0))
+    low = counts.groupBy("_r").agg(F.sum("_n").alias("_m"))
+    low = low.select("_r", (F.sum("_m").over(Window.orderBy("_r")) - F.col("_m")).alias("_low"))  # a row per range
+    upto = F.sum("_n").over(Window.partitionBy("_r").orderBy("_v"))
+    ranks = counts.withColumn("_u", upto).join(F.broadcast(low), "_r").select("_v", (F.col("_low") + F.col("_u") - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranks.hint("merge"), F.col(column) == F.col("_v")).drop("_v")
+
+
 def rank_ic(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Spearman correlation per group of `by`; null under three pairs or for constants."""
     good = df.dropna(subset=[x, y]).withColumn("_rx", average_rank(x, *by)).withColumn("_ry", average_rank(y, *by))

@@ -280,14 +280,55 @@ def holdout(df: DataFrame, day: str, months: int = 18) -> tuple[DataFrame, DataF
     return df.filter(F.col(day) <= F.lit(cut)), df.filter(F.col(day) > F.lit(cut))
 
 
+#: Rows of a window that one task of within_window_placebo() deals.
+HELD = 1 << 20
+
+
 def within_window_placebo(df: DataFrame, window: str, signal: str, ret: str, key: str, iters: int = 200, seed: int = 42) -> DataFrame:
-    """Pooled rank correlation per turn with signals dealt anew within each window by hash; turn 0 is the true one."""
-    rows = df.dropna(subset=[signal, ret]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(iters))))
-    by = Window.partitionBy("turn", window)
-    place = F.when(F.col("turn") == 0, F.row_number().over(by.orderBy(key))).otherwise(F.row_number().over(by.orderBy(F.xxhash64(F.col(key), F.col("turn"), F.lit(seed)), key)))
-    rows = rows.withColumn("_a", F.row_number().over(by.orderBy(key))).withColumn("_b", place)
-    dealt = rows.select("turn", window, F.col("_a").alias("_p"), F.col(ret).alias("_y")).join(rows.select("turn", window, F.col("_b").alias("_p"), F.col(signal).alias("_x")), ["turn", window, "_p"])
-    return stats.rank_ic(dealt, "_x", "_y", ["turn"])
+    """Pooled rank correlation per turn with signals dealt anew within each window by hash; turn 0 is the true one.
+
+    The rows of a window in order of key get its signals in order of a hash of key and turn. Dealing keeps the values of both sides,
+    so all turns share one ranking and differ in a sum of products, which a window's task makes for every turn: what is shuffled are
+    rows, not rows times turns. Windows beyond HELD rows deal rows times turns out by buckets of the hash, with the same result."""
+    rows = df.dropna(subset=[signal, ret]).filter(F.col(window).isNotNull())
+    rows = rows.select(F.col(window).alias("_w"), F.col(key).alias("_k"), F.col(signal).cast("double").alias("_x"), F.col(ret).cast("double").alias("_y"))
+    middle = (rows.count() + 1) / 2
+    wide = rows.groupBy("_w").agg(F.count("*").alias("_n")).filter(F.col("_n") > HELD).select("_w")  # at most a row for each HELD of the input
+    ranked = stats.pooled_rank(stats.pooled_rank(rows, "_x", "_rx"), "_y", "_ry")
+    ranked = ranked.select("_w", "_k", (F.col("_rx") - middle).alias("_x"), (F.col("_ry") - middle).alias("_y"))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_k", "_x", "_y"], na_position="first")
+        x, y, h = pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["_h"].to_numpy(np.int64).view(np.uint64)
+        sums = [x @ y]
+        for turn in range(1, iters + 1):
+            sums.append(x[np.argsort(_hash_int(seed, _hash_int(turn, h)).view(np.int64), kind="stable")] @ y)
+        return pd.DataFrame({"turn": np.arange(iters + 1, dtype=np.int32), "s": sums, "xx": x @ x, "yy": y @ y, "n": len(x)})
+
+    held = ranked.join(F.broadcast(wide), "_w", "left_anti").withColumn("_h", F.xxhash64("_k"))
+    sums = held.groupBy("_w").applyInPandas(deal, "turn int, s double, xx double, yy double, n long")
+    if not wide.isEmpty():
+        sums = sums.unionByName(_deal_wide(ranked.join(F.broadcast(wide), "_w", "left_semi"), iters, seed))
+    out = sums.groupBy("turn").agg(*(F.sum(c).alias(c) for c in ("s", "xx", "yy", "n")))
+    varied = (F.col("n") >= 3) & (F.col("xx") > 0) & (F.col("yy") > 0)
+    return out.select("turn", F.when(varied, F.col("s") / (F.sqrt("xx") * F.sqrt("yy"))).alias("ic"), "n")
+
+
+def _deal_wide(rows: DataFrame, iters: int, seed: int) -> DataFrame:
+    """Sums per turn as in within_window_placebo(), of windows that no task should hold. Turns are ranked within buckets of the hash, whose sizes
+    give the places; only the order by key sorts a whole window in one task, once and on disk where memory ends."""
+    order = ["_k", "_x", "_y"]
+    places = rows.select("_w", F.col("_y").alias("_to"), (F.row_number().over(Window.partitionBy("_w").orderBy(*order)) - 1).alias("_p"))
+    turns = F.explode(F.sequence(F.lit(1), F.lit(iters))) if iters > 0 else F.explode(F.array().cast("array<int>"))
+    dealt = rows.withColumn("turn", turns).withColumn("_g", F.xxhash64("_k", "turn", F.lit(seed))).withColumn("_b", F.shiftright("_g", 54))
+    sizes = dealt.groupBy("turn", "_w", "_b").agg(F.count("*").alias("_c"))
+    sizes = sizes.withColumn("_o", F.sum("_c").over(Window.partitionBy("turn", "_w").orderBy("_b")) - F.col("_c")).drop("_c")
+    within = F.row_number().over(Window.partitionBy("turn", "_w", "_b").orderBy("_g", *order)) - 1
+    dealt = dealt.withColumn("_i", within).join(sizes.hint("merge"), ["turn", "_w", "_b"]).withColumn("_p", F.col("_o") + F.col("_i")).select("turn", "_w", "_p", "_x")
+    pairs = dealt.join(places.hint("merge"), ["_w", "_p"]).select("turn", "_x", F.col("_to").alias("_y"))
+    pairs = pairs.unionByName(rows.select(F.lit(0).alias("turn"), "_x", "_y"))
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    return pairs.groupBy("turn").agg(F.sum(F.col("_x") * F.col("_y")).alias("s"), square("_x").alias("xx"), square("_y").alias("yy"), F.count("*").alias("n"))
 
 
 def robustness_grid(events: DataFrame, panel: DataFrame, key: str, horizons: list[int], features: list[str], run, least: int = 50) -> DataFrame:

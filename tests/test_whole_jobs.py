@@ -54,3 +54,33 @@ def test_placebo_query_takes_all_events_and_turns(spark, sf_dir):
     cars = market.market_model_cars(returns(spark, sf_dir), "key", "date", "r", "m", (-1, 3), (-60, -11), 30)
     events = cars.filter("car is not null").count()
     assert sorted(r["turn"] for r in out) == list(range(1, 1001)) and all(events / 2 < r["n"] <= events for r in out)
+
+
+def brute_within_window(spark, df, iters):
+    """Spearman's correlation per turn over (w, k, x, y) with places by row_number, ranks by pandas."""
+    rows = df.dropna(subset=["x", "y", "w"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(iters)))).withColumn("h", F.xxhash64("k", "turn", F.lit(42))).toPandas()
+    found = {}
+    for turn, own in rows.groupby("turn"):
+        own = own.sort_values(["w", "k"])
+        dealt = own.sort_values(["w", "h"])["x"].to_numpy() if turn else own["x"].to_numpy()
+        found[turn] = (own.assign(x=dealt)[["x", "y"]].rank().corr().iloc[0, 1], len(own))
+    return found
+
+
+def test_within_window_placebo_ranks_once(spark, monkeypatch):
+    rows = [(i % 3 if i % 50 else None, i, float(i * 7919 % 1009 % 400) if i % 41 else None, float(i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "w int, k long, x double, y double")
+    want = brute_within_window(spark, df, 6)
+    shapes = []
+    for held, most in ((1 << 20, 1 << 16), (960, 50), (1, 50)):
+        monkeypatch.setattr(market, "HELD", held)
+        monkeypatch.setattr(market.stats.pooled_rank, "__defaults__", (most,))
+        out = market.within_window_placebo(df, "w", "x", "y", "k", 6)
+        got = {r["turn"]: (r["ic"], r["n"]) for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[t][1] == n and abs(got[t][0] - ic) < 1e-12 for t, (ic, n) in want.items())
+        shapes.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert "Generate" not in shapes[0] and "Generate" in shapes[2]  # rows are multiplied by turns in wide windows alone
+    odd = [([], []), ([(1, 1, 1.0, 2.0), (1, 2, 2.0, 1.0)], [(0, None, 2), (1, None, 2)]), ([(1, i, 1.0, float(i)) for i in range(4)], [(0, None, 4), (1, None, 4)])]
+    for some, said in odd:
+        one = spark.createDataFrame(some, "w int, k long, x double, y double")
+        assert sorted(tuple(r) for r in market.within_window_placebo(one, "w", "x", "y", "k", 1).collect()) == said
