@@ -26,6 +26,17 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch between the JVM and Python, about; Spark's own limits are 10,000 rows and 64 MB.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session by BATCH, unless its settings bound them: a batch stands in the JVM beside its heap, in
+    Python's buffers and in what is made of them, for each task at once. Results don't depend on batches."""
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 #: Rows of a run of texts at most, whatever their length.
 ROWS = 1024
 

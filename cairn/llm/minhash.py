@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, bitmap, marked, text_chunks, without
+from .common import Scratch, bitmap, bounded_batches, marked, text_chunks, without
 from .components import connected_components
 
 _U = np.uint64
@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, perms: i
     input gives an empty result; other columns of docs are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     sign, longs = _signer(perms, rows, width)
     signs = [f"s{i}" for i in range(longs)]

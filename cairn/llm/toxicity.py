@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import MARKS, Scratch, bitmap, marked
+from .common import MARKS, Scratch, bitmap, bounded_batches, marked
 
 #: A term needs this many contexts (words before it, hashed to 64) in toxic documents, and this share of them at equal numbers
 #: of toxic and clean documents. Copies of one document repeat its contexts, so they don't make its words terms.
@@ -318,6 +318,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _judge(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """The columns `carry` of docs (doc_id long, text string), the features, score and predicted."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") != 0, 1).otherwise(0)).alias("toxic")).filter(~held_out(F.col("doc_id")))
     marks = bitmap(known.select(F.col("doc_id").cast("long").alias("doc_id")))

@@ -1,7 +1,8 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from cairn.llm import embedding_dedup
+from cairn.llm import common, embedding_dedup, minhash
 
 
 def test_a_pair_that_misses_the_sorted_line_is_counted():
@@ -21,3 +22,22 @@ def test_a_pair_that_misses_the_sorted_line_is_counted():
     assert want.sum() >= 4096
     got = dict(zip(*(out[out.kind == 0][c] for c in ("u", "v"))))
     assert [got.get(i, 0) for i in range(4096)] == want.tolist()
+
+
+def test_texts_reach_python_in_batches_bounded_by_bytes(spark):
+    """42 MB of texts in one partition, after near_duplicates() has begun: no batch is much over BATCH, and all rows are read."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    minhash.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"))
+    docs = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "repeat('ab ', 7000) AS text")
+    rows = docs.mapInArrow(sizes, "bytes long, n long").collect()
+    assert sum(r["n"] for r in rows) == 2000 and max(r["bytes"] for r in rows) < 2 * common.BATCH
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))  # a bound of the session's own stays
+    common.bounded_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 1 << 20
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
